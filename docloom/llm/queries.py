@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, secrets, tokens, toxicity
+from docloom.llm import langid, mixing, secrets, sharding, tokens, toxicity
 from docloom.llm.common import remainder
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes."""
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=40).select("*", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; labels of ids whose remainder is 0 are never read."""
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
@@ -31,6 +36,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents"), with_text=False))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents by source takes of each."""
+    found = mixing.copy_counts(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents; rows whose remainder is 2 are not learned from."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -39,4 +50,4 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held, "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op5_secrets, op8_language)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op5_secrets, op6_mixing, op8_language)}

@@ -1,3 +1,35 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP6 = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), per_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+    [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM per_source
+), leveled AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+), targets AS (
+  SELECT source, source_size, CASE WHEN cap <= weight * level THEN cap
+    ELSE weight * max(CASE WHEN cap > weight * level THEN level END) OVER () END AS target
+  FROM leveled
+), rated AS (
+  SELECT doc_id, sized.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':mix-1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+), turned AS (
+  SELECT *, u + turn / 32.0::DOUBLE - CASE WHEN u + turn / 32.0::DOUBLE >= 1 THEN 1 ELSE 0 END AS v FROM rated, (SELECT range AS turn FROM range(32))
+), taken AS (
+  SELECT *, ((floor(rate) + (v < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM turned
+), best AS (
+  SELECT source, arg_min(turn, {'off': off, 'turn': turn}) AS turn
+  FROM (SELECT source, turn, abs(sum(taken)::DOUBLE - any_value(target)) AS off FROM taken GROUP BY source, turn) GROUP BY source
+)
+SELECT doc_id, size, source_size, target, taken FROM taken JOIN best ON taken.turn = best.turn AND taken.source IS NOT DISTINCT FROM best.source
+"""
+
+ORACLES: dict[str, str] = {"op6_mixing": OP6}

@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = 8000, most_terms:
     Labels that are null, or whose document is missing or null, are left out; of several labels of one id the larger
     counts. The fit uses a bounded sample of about fit_docs labelled rows, picked by a hash of the id, with whole texts.
     The index's terms are the most_terms words and word prefixes that tell the labels apart best by chi-square (at least
-    20, and in 4 texts or more); the counts come from the whole sample.
+    30, and in 5 texts or more); the counts come from the whole sample.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     marked = stored(sample_below(stored(marked, "toxic-labels"), "id", fit_docs, marked.count()), "toxic-sample")
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = 8000, most_terms:
     picked = (
         terms.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
         .withColumn("chi", F.pow(a / p - b / q, 2) / ((a + b) / n * (1 / p + 1 / q) * F.greatest(1 - (a + b) / n, F.lit(1e-9))))
-        .where((F.col("chi") >= 20) & (a + b >= 4)).orderBy(F.desc("chi"), "term").limit(most_terms).collect()
+        .where((F.col("chi") >= 30) & (a + b >= 5)).orderBy(F.desc("chi"), "term").limit(most_terms).collect()
     )
     names = [r["term"] for r in picked]
     idf = [float(np.log(1 + n / (r["a"] + r["b"]))) for r in picked]
