@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, mixing, secrets, sharding, tokens, toxicity
+from docloom.llm import langid, mixing, secrets, sharding, simhash, tokens, toxicity
 from docloom.llm.common import remainder
 
 
@@ -31,6 +31,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokens.byte_bpe(), 512)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of all documents."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents"), with_text=False))
@@ -50,4 +56,4 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held, "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op5_secrets, op6_mixing, op8_language)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_simhash, op5_secrets, op6_mixing, op8_language)}
