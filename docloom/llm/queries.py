@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, mixing, secrets, sharding, simhash, tokens, toxicity
+from docloom.llm import langid, mixing, secrets, sharding, simhash, spotsigs, tokens, toxicity, vectors
 from docloom.llm.common import remainder
 
 
@@ -56,4 +56,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held, "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_simhash, op5_secrets, op6_mixing, op8_language)}
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    found = vectors.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return vectors.top_k(found, found.where("id % 100 = 0"))
+
+
+def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return spotsigs.edit_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_simhash, op5_secrets, op6_mixing, op8_language, op9_vector_search, op10_spot_signatures)}

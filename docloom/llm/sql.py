@@ -32,4 +32,17 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, taken FROM taken JOIN best ON taken.turn = best.turn AND taken.source IS NOT DISTINCT FROM best.source
 """
 
-ORACLES: dict[str, str] = {"op6_mixing": OP6}
+OP9 = """
+WITH sound AS (
+  SELECT DISTINCT vec_id::BIGINT AS id, [floor(1024.0::DOUBLE * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM sound q JOIN sound c ON c.id <> q.id WHERE q.id % 100 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op6_mixing": OP6, "op9_vector_search": OP9}
