@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, mixing, secrets, sharding, simhash, spotsigs, tokens, toxicity, vectors
+from docloom.llm import langid, mixing, packing, secrets, sharding, simhash, spotsigs, tokens, toxicity, vectors
 from docloom.llm.common import remainder
 
 
@@ -48,6 +48,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokens.byte_bpe(), 2048)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents; rows whose remainder is 2 are not learned from."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -67,4 +72,4 @@ def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_simhash, op5_secrets, op6_mixing, op8_language, op9_vector_search, op10_spot_signatures)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_simhash, op5_secrets, op6_mixing, op7_packing, op8_language, op9_vector_search, op10_spot_signatures)}
