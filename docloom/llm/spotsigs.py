@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,34 +19,30 @@ COMMON_WORDS = (
     "auf das dem den der die ein eine für im ist mit nicht sich und von zu",
 )
 CHAIN = 2  # content words of a chain
-BARE = 6
-
-
-def _alternation() -> str:
-    return "|".join(sorted({w for line in COMMON_WORDS for w in line.split()}, key=lambda w: (-len(w), w)))
+BARE = 6  # content words that must follow a chain that no common word precedes
+_MARK = "\x01"
 
 
-def spots(text: Column, chain: int = CHAIN) -> Column:
-    """The distinct spot signatures of a text as a sorted array of 32-bit hashes; null text counts as empty.
+def with_spots(df: DataFrame, text_col: str, name: str, chain: int = CHAIN) -> DataFrame:
+    """df with column `name`: the distinct spot signatures of a text as a sorted array of 32-bit hashes.
 
-    Words are runs of letters and digits in lower case. A spot is a common word with the next `chain` words that aren't
-    common; other common words between them are left out. In a stretch of words that aren't common, each run of `chain` with
-    BARE more behind it is a spot too, so that lists and tables have spots. A text without a spot has one signature for each run of
-    `chain` words, or one for all of it if it is shorter; a text without a word has the signature of the empty text.
+    Words are runs of letters and digits in lower case; null text counts as empty. A spot is the chain of the next
+    `chain` words that aren't common after a common word; common words between them are left out. In a stretch of words
+    that aren't common each run of `chain` with BARE more behind it is a spot too, so that lists and tables have spots.
+    A text without a spot has one signature for each run of `chain` words, or one for all of its words if they are
+    fewer. Each step is a projection of its own, so that none is evaluated twice.
     """
-    common = _alternation()
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    skip = f"(?:(?:{common}) )*+"
-    link = rf"(?!(?:{common}) )[^ ]++ "
-    after = rf"(?:{common}) {skip}" + skip.join([link] * chain)
-    bare = link * chain + f"(?=(?:{link}){{{BARE}}})"
-    spot = f"(?<= )(?=({after}|{bare}))"
-    found = F.array_join(F.regexp_extract_all(F.concat(F.lit(" "), plain, F.lit(" ")), F.lit(spot), F.lit(1)), "|")
-    chains = F.split(F.regexp_replace(found, rf" (?:{common})(?= )", ""), "\\|")
-    runs = rf"(?<= )(?=({'[^ ]++ ' * chain}))"
-    every = F.regexp_extract_all(F.concat(F.lit(" "), plain, F.lit(" ")), F.lit(runs), F.lit(1))
-    kept = F.when(found != "", chains).when(F.size(every) > 0, every).otherwise(F.array(plain))
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda c: F.hash(c))))
+    common = sorted({w for line in COMMON_WORDS for w in line.split()})
+    mark, word, t = F.lit(_MARK), rf"[^{_MARK} ]++ ", [f"__{name}_{i}" for i in range(3)]
+    spot = rf"(?<= )(?=((?:(?<={_MARK} ){f'(?:{_MARK} )*+'.join([word] * chain)})|(?:{word * chain}(?=(?:{word}){{{BARE}}}))))"
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    marked = F.concat(F.lit(" "), F.array_join(F.transform(F.col(t[0]), lambda w: F.when(w.isin(common), mark).otherwise(w)), " "), F.lit(" "))
+    runs = F.regexp_extract_all(F.concat(F.lit(" "), F.array_join(t[0], " "), F.lit(" ")), F.lit(rf"(?<= )(?=({'[^ ]++ ' * chain}))"), F.lit(1))
+    found = F.regexp_extract_all(marked, F.lit(spot), F.lit(1))
+    whole = F.array(F.array_join(t[0], " "))
+    df = df.withColumn(t[0], words).withColumn(t[1], found)
+    df = df.withColumn(t[2], F.when(F.size(t[1]) > 0, F.transform(t[1], lambda c: F.hash(F.replace(c, F.lit(_MARK + " "), F.lit(""))))).when(F.size(t[0]) >= chain, F.transform(runs, lambda c: F.hash(c))).otherwise(F.transform(whole, lambda c: F.hash(c))))
+    return df.withColumn(name, F.array_sort(F.array_distinct(t[2]))).drop(*t)
 
 
 def written(signatures: Column) -> Column:
@@ -59,8 +57,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, signatures) for every row of docs; nulls, repeats and empty tables as in spots()."""
-    return docs.select(F.col(id_col).alias("doc_id"), spots(F.col(text_col)).alias("signatures"))
+    """(doc_id, signatures) for every row of docs; nulls as in with_spots(), repeated rows a row each, an empty table nothing."""
+    return with_spots(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "signatures").select("doc_id", "signatures")
 
 
 def similar(prints: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -109,8 +107,8 @@ def _place(value: Column, splits: list[int]) -> Column:
     return F.when(full == len(groups), F.lit(len(splits))).otherwise(full * step + upto(rest))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int, more: dict[str, Column] | None = None) -> DataFrame:
-    """(doc_id, text, next_text, and x and next_x for each x in more) for every row: what the row after it holds, in
+def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int, more: Callable[[DataFrame], DataFrame] | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, next_text, and x and next_x for each x in names, which more adds) for every row: what the row after it holds, in
     order of id (nulls first; equal ids by a hash of the text), after the last the first.
 
     Rows are dealt to ranges of ids, once. Each range also gets the first row of the range after it, so that a window
@@ -131,10 +129,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int, more: dic
     guest = F.struct(F.pmod(F.col("range") - 1, F.lit(max(1, len(firsts)))).alias("r"), F.lit(1).alias("guest"))
     dealt = rows.withColumn("to", F.explode(F.when(lead, F.array(own, guest)).otherwise(F.array(own)))).select("doc_id", "k", "text", F.col("to.r").alias("r"), F.col("to.guest").alias("guest"))
     dealt = dealt.repartition(parts, "r")
-    for name, column in (more or {}).items():
-        dealt = dealt.withColumn(name, column)
+    dealt = more(dealt) if more else dealt
     order = Window.partitionBy("r").orderBy("guest", "k", F.xxhash64("text"))
-    names = ["text", *(more or {})]
+    names = ("text", *names)
     return dealt.select("doc_id", "guest", *names, *[F.lead(n).over(order).alias(f"next_{n}") for n in names]).where("guest = 0").drop("guest")
 
 
@@ -148,8 +145,8 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row: its
     fingerprint beside that of its edited text and of the next document."""
     parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = with_next(docs, id_col, text_col, parts, {"spots": spots(F.col("text"))})
-    found = found.select("doc_id", "text", "spots", "next_spots", edited(F.col("text"), F.col("next_text")).alias("edited")).withColumn("edited_spots", spots(F.col("edited")))
+    found = with_next(docs, id_col, text_col, parts, lambda df: with_spots(df, "text", "spots"), ("spots",))
+    found = with_spots(found.select("doc_id", "text", "spots", "next_spots", edited(F.col("text"), F.col("next_text")).alias("edited")), "edited", "edited_spots")
     return found.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), written(F.col("spots")).alias("fingerprint"), written(F.col("edited_spots")).alias("edited_fingerprint"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
