@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,3 +137,14 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = df.schema[id_col].dataType.simpleString()
     return arrow_map(df.select(F.col(id_col), F.col(text_col)), rows, f"`{id_col}` {kind}, lang_pred string, score double")
 
+
+
+def identify_rows(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """df, every column kept, with lang_pred and lang_score as in identify(), by an Arrow function in place of a join."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("struct<lang_pred:string,lang_score:double>")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
+
+    return df.withColumn("__found", predicted(F.col(text_col))).select("*", "__found.lang_pred", "__found.lang_score").drop("__found")

@@ -6,6 +6,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +107,22 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return arrow_map(df.select(F.col(id_col), F.col(text_col)), rows, f"`{id_col}` {kind}, base_spans {span}, spans {span}" + ", redacted string" * with_text)
 
 
+def redact_rows(df: DataFrame, text_col: str = "text", scope: int = 240, mask: str = "[SECRET]") -> DataFrame:
+    """df, every column kept, its text with all spans of find_secrets() masked, and changed: whether it had any."""
+
+    @F.pandas_udf("struct<text:string,changed:boolean>")
+    def redacted(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            spans = base_spans(text) if text else []
+            spans = spans + linked_parts(text, spans, scope) if text else []
+            out.append((masked(text, spans, mask) if spans else text, bool(spans)))
+        return pd.DataFrame(out, columns=["text", "changed"])
+
+    found = df.withColumn("__found", redacted(F.col(text_col)))
+    return found.withColumn(text_col, F.col("__found.text")).withColumn("changed", F.col("__found.changed")).drop("__found")
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts per base kind, the hash of the base spans' list, and the list of all spans."""
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
