@@ -66,3 +66,25 @@ def arrow_map(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: s
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, target)], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def arrow_append(df: DataFrame, column: str, values: Callable[[list], list[list]], added: str, batch_bytes: int = 8 << 20) -> DataFrame:
+    """df, every column passed on as it is, with the columns of the DDL `added` that values makes of one column's list."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    types = to_arrow_schema(new)
+    schema = StructType([*df.schema.fields, *new.fields])
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, int(batch.num_rows * batch_bytes / max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                out = values(part.column(at).to_pylist())
+                arrays = [*part.columns, *(pa.array(c, type=f.type) for c, f in zip(out, types))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return df.mapInArrow(run, schema)

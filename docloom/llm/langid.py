@@ -5,17 +5,16 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import arrow_map, sample_below
+from docloom.llm.common import arrow_append, arrow_map, sample_below
 
 _WORD = regex.compile(r"\p{L}+")
 LONGEST, UNKNOWN = 5, "und"
-_KEPT = 1 << 18
+_KEPT = 1 << 17
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -84,7 +83,7 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def train(labelled: DataFrame, fit_docs: int = 6000, per_lang: int = 20000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", entries: int = 400_000) -> Model:
+def train(labelled: DataFrame, fit_docs: int = 6000, per_lang: int = 8000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", entries: int = 200_000) -> Model:
     """A model from labelled rows (text and lang not null; others are left out).
 
     It is fitted on a bounded sample: about fit_docs rows with their whole texts, picked by a hash of the id. Per language and n the per_lang most frequent grams are kept, fewer if there are so many
@@ -140,11 +139,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def identify_rows(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df, every column kept, with lang_pred and lang_score as in identify(), by an Arrow function in place of a join."""
+    """df, every column kept, with lang_pred and lang_score as in identify() (new names, else the call fails)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred:string,lang_score:double>")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
+    def values(texts):
+        found = [shared.value.predict(t) for t in texts]
+        return [[f[0] for f in found], [f[1] for f in found]]
 
-    return df.withColumn("__found", predicted(F.col(text_col))).select("*", "__found.lang_pred", "__found.lang_score").drop("__found")
+    return arrow_append(df, text_col, values, "lang_pred string, lang_score double")

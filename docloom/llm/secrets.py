@@ -6,11 +6,10 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import arrow_map
+from docloom.llm.common import arrow_append, arrow_map
 
 # The base patterns, by kind, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -110,17 +109,16 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redact_rows(df: DataFrame, text_col: str = "text", scope: int = 240, mask: str = "[SECRET]") -> DataFrame:
     """df, every column kept, its text with all spans of find_secrets() masked, and changed: whether it had any."""
 
-    @F.pandas_udf("struct<text:string,changed:boolean>")
-    def redacted(texts: pd.Series) -> pd.DataFrame:
+    def values(texts):
         out = []
         for text in texts:
             spans = base_spans(text) if text else []
             spans = spans + linked_parts(text, spans, scope) if text else []
             out.append((masked(text, spans, mask) if spans else text, bool(spans)))
-        return pd.DataFrame(out, columns=["text", "changed"])
+        return [[t for t, _ in out], [c for _, c in out]]
 
-    found = df.withColumn("__found", redacted(F.col(text_col)))
-    return found.withColumn(text_col, F.col("__found.text")).withColumn("changed", F.col("__found.changed")).drop("__found")
+    found = arrow_append(df, text_col, values, "masked_text string, changed boolean")
+    return found.withColumn(text_col, F.col("masked_text")).drop("masked_text")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
