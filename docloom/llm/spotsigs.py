@@ -21,6 +21,7 @@ COMMON_WORDS = (
 CHAIN = 2  # content words of a chain
 BARE = 6  # content words that must follow a chain that no common word precedes
 _MARK = "\x01"
+RANGES = 8  # of ids, per partition
 
 
 def with_spots(df: DataFrame, text_col: str, name: str, chain: int = CHAIN) -> DataFrame:
@@ -116,15 +117,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int, more: Cal
     """
     low = -(2**63)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = rows.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 20 * parts).alias("s")).first()["s"] if parts > 1 else None
+    # several ranges per partition, so that partitions come out even
+    n = RANGES * parts
+    cuts = rows.select(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n).alias("s")).first()["s"] if parts > 1 else None
     splits = sorted(set(cuts or []))
     ranges = rows.select("k", _place(F.col("k"), splits).alias("range")).groupBy("range").agg(F.min("k").alias("first")).orderBy("range").collect()
     firsts = [r["first"] for r in ranges]  # one per range
     rows = rows.withColumn("range", _place(F.col("k"), firsts) - 1)
-    if len(firsts) > 1:
-        lead = F.array_contains(F.array(*[F.lit(f) for f in firsts]), F.col("k"))
-    else:
-        lead = F.lit(bool(firsts)) & (F.col("k") == F.lit(firsts[0] if firsts else 0))
+    lead = F.col("k") == F.element_at(F.array(*[F.lit(f) for f in firsts or [0]]), (F.col("range") + 1).cast("int"))
     own = F.struct(F.col("range").alias("r"), F.lit(0).alias("guest"))
     guest = F.struct(F.pmod(F.col("range") - 1, F.lit(max(1, len(firsts)))).alias("r"), F.lit(1).alias("guest"))
     dealt = rows.withColumn("to", F.explode(F.when(lead, F.array(own, guest)).otherwise(F.array(own)))).select("doc_id", "k", "text", F.col("to.r").alias("r"), F.col("to.guest").alias("guest"))
