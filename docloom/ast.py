@@ -131,6 +131,41 @@ def merge(nodes: list) -> list:
     return out
 
 
+LAYERS = ("Emph", "Strong", "SmallCaps", "Strikeout", "Underline")
+
+
+def relayered(nodes: list) -> list:
+    """Neighbours that share formatting are wrapped once: of the wrappers at a place the one that reaches furthest is
+    the outermost. Office formats store every run with all of its formatting, so without this wrappers would repeat."""
+    def flat(ns, on):
+        for n in ns:
+            if n["t"] in LAYERS:
+                yield from flat(n["c"], on if n["t"] in on else [*on, n["t"]])
+            else:
+                yield on, n
+
+    def build(items):
+        out, at = [], 0
+        while at < len(items):
+            on, node = items[at]
+            if not on:
+                out.append(node)
+                at += 1
+                continue
+            def reach(m):  # noqa: E306
+                end = at
+                while end < len(items) and m in items[end][0]:
+                    end += 1
+                return end
+            best = max(on, key=lambda m: (reach(m), -LAYERS.index(m)))
+            end = reach(best)
+            out.append(el(best, build([([m for m in o if m != best], n) for o, n in items[at:end]])))
+            at = end
+        return merge(out)
+
+    return build(list(flat(nodes, [])))
+
+
 def trim(nodes: list) -> list:
     start, stop = 0, len(nodes)
     while start < stop and nodes[start]["t"] in ("Space", "SoftBreak"):
