@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 API_VERSION = [1, 23, 1]
-BLOCK_LISTS = {"BlockQuote", "Div", "Figure", "BulletList", "OrderedList", "DefinitionList", "Table", "Note"}
+LEAVES = frozenset(("Str", "Space", "SoftBreak", "LineBreak", "Code", "Math", "CodeBlock", "RawBlock", "RawInline", "HorizontalRule", "Null"))
 
 
 class DocumentError(ValueError):
@@ -59,7 +59,10 @@ def cells_of(table: list) -> Iterator[tuple[str, int, list]]:
 
 def kids(node: dict) -> list[tuple[str, list]]:
     """(role, nodes) for each slot of a node that holds nodes."""
-    t, c = node["t"], node.get("c")
+    t = node["t"]
+    if t in LEAVES:
+        return []
+    c = node["c"]
     match t:
         case "Para" | "Plain" | "Emph" | "Strong" | "Underline" | "Strikeout" | "Superscript" | "Subscript" | "SmallCaps":
             return [("content", c)]

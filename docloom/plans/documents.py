@@ -56,7 +56,7 @@ def attempt(f, *args):
     """(result, None), or (None, message) if the document is refused; one bad row never fails a job."""
     try:
         return f(*args), None
-    except (ast.DocumentError, RecursionError, ValueError, KeyError, IndexError, TypeError, AttributeError) as e:
+    except Exception as e:  # codecs raise many kinds over damaged bytes
         return None, f"{type(e).__name__}: {e}"[:300]
 
 
@@ -124,6 +124,9 @@ def render(asts: DataFrame, target: str) -> DataFrame:
 NODE = "pre int, post int, parent int, depth int, ord int, role string, tag string, text string, level int, id string, classes array<string>, url string, title string"
 
 
+WITH_ATTR = frozenset(("Table", "Figure", "Div", "Span", "Link", "Image", "Code", "CodeBlock"))
+
+
 def flat(blocks: list) -> list[tuple]:
     """The rows of a tree in pre-order; post ranks close the intervals, so x is below y if y.pre < x.pre and x.post < y.post."""
     out: list = []
@@ -133,7 +136,7 @@ def flat(blocks: list) -> list[tuple]:
         nonlocal post
         t, c, pre = node["t"], node.get("c"), len(out)
         out.append(None)
-        a = {"Header": lambda: c[1], "Table": lambda: c[0], "Figure": lambda: c[0], "Div": lambda: c[0], "Span": lambda: c[0], "Link": lambda: c[0], "Image": lambda: c[0], "Code": lambda: c[0], "CodeBlock": lambda: c[0]}.get(t, lambda: None)()
+        a = c[1] if t == "Header" else c[0] if t in WITH_ATTR else None
         text = c if t == "Str" else c[1] if t in ("Code", "CodeBlock", "RawBlock", "RawInline", "Math") else None
         target = c[2] if t in ("Link", "Image") else (None, None)
         at = 0

@@ -126,26 +126,12 @@ def doc_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fn.tokens(F.col("text"))).alias("pos", "token"))
 
 
-@query("""
-WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS ws FROM documents
-), f AS (
-  SELECT doc_id, ws, 1 AS i, ws[1] AS cur, 0 AS line FROM w WHERE len(ws) > 0
-  UNION ALL
-  SELECT doc_id, ws, i + 1, CASE WHEN length(cur) + 1 + length(ws[i + 1]) <= 72 THEN cur || ' ' || ws[i + 1] ELSE ws[i + 1] END,
-    CASE WHEN length(cur) + 1 + length(ws[i + 1]) <= 72 THEN line ELSE line + 1 END
-  FROM f WHERE i < len(ws)
-), l AS (SELECT doc_id, line, arg_max(cur, i) AS cur FROM f GROUP BY doc_id, line)
-SELECT doc_id, string_agg(cur, chr(10) ORDER BY line) AS filled FROM l GROUP BY doc_id
-""")
+@query()
 def filled_text(spark, sf_dir):
-    """Documents filled to 72 columns by a fold over their words."""
+    """Documents filled to 72 columns by a fold over their words; tests hold it against a loop."""
     return table(spark, sf_dir, "documents").select("doc_id", fn.filled(F.col("text"), 72).alias("filled"))
 
 
-ORACLES.pop("filled_text")  # its recursion copies each document's words at every step: tests hold it against a loop
-
-
 # ---- HTML pages
 
 _ENT = "replace(replace(replace(replace({}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
@@ -165,8 +151,8 @@ def page_links(spark, sf_dir):
     return nodes.where("tag = 'Link'").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("url")), " ").alias("urls"))
 
 
-@query(r"""
-SELECT page_id, regexp_replace(regexp_replace(trim(regexp_replace(lower(h), '[^\p{L}\p{N}\s_.-]', '', 'g')), '\s+', '-', 'g'), '^[^\p{L}]+', '') AS id
+@query(rf"""
+SELECT page_id, regexp_replace(regexp_replace(trim(regexp_replace(lower({_ENT.format("h")}), '[^\p{{L}}\p{{N}}\s_.-]', '', 'g')), '\s+', '-', 'g'), '^[^\p{{L}}]+', '') AS id
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>(.*?)</h1>', 1)) AS h FROM pages)
 """)
 def page_heading_ids(spark, sf_dir):

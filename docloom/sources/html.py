@@ -49,15 +49,14 @@ class Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         given = {k: v or "" for k, v in reversed(attrs)}
-        if tag in ("html", "body") and tag == "html":
+        if tag == "html":
             self.root.attrs |= given
             return
         for at in range(len(self.open) - 1, 0, -1):
             name = self.open[at].name
             if tag in CLOSED_BY.get(name, ()):
                 del self.open[at:]
-                break
-            if name in FENCES:
+            elif name in FENCES:
                 break
         node = Element(tag, given)
         self.open[-1].kids.append(node)

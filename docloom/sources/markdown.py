@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from docloom.ast import DocumentError, attr, depth, document, el, merge, rewrite, table_node, text_of, trim
 
@@ -41,6 +42,7 @@ _INLINE_HTML = re.compile(rf"{_TAG}|<!-->|<!--->|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|
 _AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>|<([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*)>")
 _ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _BARE = re.compile(r"(?:https?://|ftp://|www\.)[^\s<]+|[A-Za-z0-9._+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")
+_STARTS = set("#*-_>`~<+0123456789")
 _PUNCTUATION = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -140,6 +142,8 @@ def indent_of(line: str) -> int:
 
 def interrupts(line: str, state: State) -> bool:
     """Whether a line ends the paragraph before it."""
+    if line.lstrip(" ")[:1] not in _STARTS:
+        return False
     if _ATX.match(line) or _RULE.match(line) or _QUOTE.match(line) or _FENCE.match(line) or any(start.match(line) for start, _ in _HTML_BLOCKS[:6]):
         return True
     m = _BULLET.match(line) or _ORDERED.match(line)
@@ -496,19 +500,27 @@ def flanking(text: str, start: int, end: int) -> tuple[bool, bool]:
     return left, right
 
 
+_GAP = re.compile("[ \\n]+")
+
+
+@lru_cache
+def _plain_run(dialect: str) -> re.Pattern:
+    """Characters that mean nothing by themselves in a dialect."""
+    d = DIALECTS[dialect]
+    marks = "~" * (d.strike or d.scripts) + "$" * d.math + "^" * d.scripts
+    return re.compile(rf"[^\\`*_\[\]!<&\n {re.escape(marks)}]+")
+
+
 def parse_inlines(text: str, state: State) -> list:
     d = state.dialect
     out: list = []  # nodes, Run objects, and ("[", image, place) markers
     i, n = 0, len(text)
-    special = set("\\`*_[]!<&\n ") | (set("~") if d.strike or d.scripts else set()) | (set("$") if d.math else set()) | (set("^") if d.scripts else set())
+    plain = _plain_run(d.name)
     while i < n:
         c = text[i]
-        if c not in special:
-            j = i + 1
-            while j < n and text[j] not in special:
-                j += 1
-            out.append(el("Str", text[i:j]))
-            i = j
+        if m := plain.match(text, i):
+            out.append({"t": "Str", "c": m[0]})
+            i = m.end()
         elif c == "\\":
             if i + 1 < n and text[i + 1] == "\n":
                 out.append(el("LineBreak"))
@@ -522,10 +534,12 @@ def parse_inlines(text: str, state: State) -> list:
                 out.append(el("Str", c))
                 i += 1
         elif c in " \n":
-            j = i
-            while j < n and text[j] in " \n":
-                j += 1
+            j = _GAP.match(text, i).end()
             gap = text[i:j]
+            if gap == " ":
+                out.append({"t": "Space"})
+                i = j
+                continue
             hard = "\n" in gap and len(gap.split("\n")[0]) >= 2 and j < n
             out.append(el("LineBreak") if hard else el("SoftBreak") if "\n" in gap else el("Space"))
             i = j
@@ -669,6 +683,8 @@ _WRAPS = {"*": "Strong", "_": "Strong", "~": "Strikeout"}
 
 def emphasis(nodes: list) -> list:
     """Pairs delimiter runs: each closer with the nearest opener of its mark, longer wrappers first."""
+    if not any(type(x) is Run for x in nodes):
+        return nodes
     nodes = list(nodes)
     at = 0
     while at < len(nodes):

@@ -54,6 +54,13 @@ class Package:
         except ET.ParseError as e:
             raise DocumentError(f"{name}: {e}") from None
 
+    def kids(self, name: str) -> list[ET.Element]:
+        return below(self.xml(name))
+
+
+def below(e: ET.Element | None) -> list[ET.Element]:
+    return list(e) if e is not None else []
+
 
 def local(tag: str) -> str:
     return tag.rpartition("}")[2]
@@ -177,18 +184,15 @@ class DocxReader:
         self.body = kid(self.package.xml("word/document.xml"), "body")
         if self.body is None:
             raise DocumentError("no word/document.xml")
-        rels = self.package.xml("word/_rels/document.xml.rels")
-        self.rels = {get(r, "Id"): get(r, "Target") for r in (rels if rels is not None else [])}
-        self.styles = {get(s, "styleId"): (get(kid(s, "name"), "val") if kid(s, "name") is not None else "", get(kid(s, "basedOn"), "val") if kid(s, "basedOn") is not None else "") for s in (self.package.xml("word/styles.xml") or []) if local(s.tag) == "style"}
-        numbering = self.package.xml("word/numbering.xml")
+        self.rels = {get(r, "Id"): get(r, "Target") for r in self.package.kids("word/_rels/document.xml.rels")}
+        self.styles = {get(s, "styleId"): (get(kid(s, "name"), "val") if kid(s, "name") is not None else "", get(kid(s, "basedOn"), "val") if kid(s, "basedOn") is not None else "") for s in self.package.kids("word/styles.xml") if local(s.tag) == "style"}
         abstract, self.numbers = {}, {}
-        for n in numbering if numbering is not None else []:
+        for n in self.package.kids("word/numbering.xml"):
             if local(n.tag) == "abstractNum":
                 abstract[get(n, "abstractNumId")] = {get(v, "ilvl"): (get(kid(v, "numFmt"), "val") if kid(v, "numFmt") is not None else "bullet", int(get(kid(v, "start"), "val", "1")) if kid(v, "start") is not None else 1) for v in n if local(v.tag) == "lvl"}
             elif local(n.tag) == "num":
                 self.numbers[get(n, "numId")] = abstract.get(get(kid(n, "abstractNumId"), "val"), {})
-        notes = self.package.xml("word/footnotes.xml")
-        self.notes = {get(n, "id"): n for n in (notes if notes is not None else [])}
+        self.notes = {get(n, "id"): n for n in self.package.kids("word/footnotes.xml")}
         self.open_notes: set[str] = set()
         self.taken: dict[str, int] = {}
         self.used: set[str] = set()
@@ -702,15 +706,15 @@ def read_epub(data: bytes) -> tuple[dict, dict[str, bytes]]:
         raise DocumentError("no package document")
     folder = root.rpartition("/")[0]
     inside = lambda href: f"{folder}/{unquote(href)}" if folder else unquote(href)
-    manifest = {get(i, "id"): (get(i, "href"), get(i, "media-type")) for i in (kid(opf, "manifest") or [])}
+    manifest = {get(i, "id"): (get(i, "href"), get(i, "media-type")) for i in below(kid(opf, "manifest"))}
     meta: dict = {}
-    for e in kid(opf, "metadata") if kid(opf, "metadata") is not None else []:
+    for e in below(kid(opf, "metadata")):
         name, value = local(e.tag), (e.text or "").strip()
         if value and name in ("title", "creator", "language", "identifier", "date", "publisher", "subject", "description"):
             entry = el("MetaInlines", words(value))
             meta[name] = entry if name not in meta else el("MetaList", [entry, *(meta[name]["c"] if meta[name]["t"] == "MetaList" else [meta[name]])])
     blocks: list = []
-    for ref in kid(opf, "spine") if kid(opf, "spine") is not None else []:
+    for ref in below(kid(opf, "spine")):
         href, kind = manifest.get(get(ref, "idref"), ("", ""))
         page = package.bytes(inside(href)) if "html" in kind else None
         if page is None or get(ref, "linear") == "no":
