@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, OrderedDict
 
 import numpy as np
@@ -17,15 +18,21 @@ _KEPT = 1 << 16
 
 
 def features(text: str) -> Counter:
-    """Words in lower case, and prefixes of 3 to 7 letters (with a `*`) of longer words."""
+    """Words in lower case, and prefixes of 4 to 7 letters (with a `*`) of longer words."""
     words = Counter(_WORD.findall(text.lower()))
     out = Counter(words)
     for w, c in words.items():
-        for n in range(3, min(8, len(w))):
+        for n in range(4, min(8, len(w))):
             out[w[:n] + "*"] += c
     return out
 
 
+def copy_group(text: str) -> int:
+    """The least hash of a text's runs of three words: near copies mostly share it, other texts don't."""
+    words = text.lower().split()
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
+
+
 class BlockMaxIndex:
     """Examples as unit vectors of sublinear TF-IDF, by term in postings cut into blocks of BLOCK examples.
 
@@ -87,8 +94,8 @@ class Model:
         self._calibrate()
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of label 1 among the neighbours, each weighing 1 / (0.05 + cosine distance), with one vote for the bare rate."""
-        w = np.array([1 / (1.05 - c) for c, _ in near])
+        """Share of label 1 among the neighbours, each weighing 1 / (0.1 + cosine distance) squared, with one vote for the bare rate."""
+        w = np.array([1 / (1.1 - c) ** 2 for c, _ in near])
         y = self.labels[[i for _, i in near]]
         return float(((w * y).sum() + self.bare) / (w.sum() + 1))
 
@@ -124,7 +131,7 @@ class Model:
             if w[:3] in starts or w in short or len(w) < 3:
                 if w in place:
                     counts[place[w]] += 1
-                for n in range(3, min(8, len(w))):
+                for n in range(4, min(8, len(w))):
                     if (p := place.get(w[:n] + "*")) is not None:
                         counts[p] += 1
         if not counts:
@@ -145,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = 8000, most_terms:
     Labels that are null, or whose document is missing or null, are left out; of several labels of one id the larger
     counts. The fit uses a bounded sample of about fit_docs labelled rows, picked by a hash of the id, with whole texts.
     The index's terms are the most_terms words and word prefixes that tell the labels apart best by chi-square (at least
-    30, and in 5 texts or more); the counts come from the whole sample.
+    30, and in 5 texts or more); the counts come from the whole sample, in which near copies count as one text.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     marked = stored(sample_below(stored(marked, "toxic-labels"), "id", fit_docs, marked.count()), "toxic-sample")
@@ -159,24 +166,25 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = 8000, most_terms:
         for batch in batches:
             for doc, text, y in zip(*(c.to_pylist() for c in batch.columns)):
                 found = list(features(text).items())
-                yield pa.RecordBatch.from_pydict({"id": pa.array([doc] * len(found), pa.int64()), "y": pa.array([y] * len(found), pa.int32()), "term": pa.array([f[0] for f in found], pa.string()), "tf": pa.array([f[1] for f in found], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"id": pa.array([doc] * len(found), pa.int64()), "y": pa.array([y] * len(found), pa.int32()), "g": pa.array([copy_group(text)] * len(found), pa.int64()), "term": pa.array([f[0] for f in found], pa.string()), "tf": pa.array([f[1] for f in found], pa.int64())})
 
-    terms = stored(fitted.select(F.col("id").cast("long"), "text", "y").mapInArrow(exploded, "id long, y int, term string, tf long"), "toxic-terms")
-    totals = terms.groupBy("id").agg(F.max("y").alias("y")).agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
+    terms = stored(fitted.select(F.col("id").cast("long"), "text", "y").mapInArrow(exploded, "id long, y int, g long, term string, tf long"), "toxic-terms")
+    # copies of one text count once, or what it alone holds would look like a mark of its label
+    totals = terms.groupBy("g").agg(F.max("y").alias("y")).agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     n, p = totals["n"], totals["p"]
     q = n - p
     if not n or not p or not q:
         return Model([], [], [], k, (p + 1) / (n + 2))
     a, b = F.col("a"), F.col("b")
     picked = (
-        terms.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+        terms.groupBy("term", "g").agg(F.max("y").alias("y")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
         .withColumn("chi", F.pow(a / p - b / q, 2) / ((a + b) / n * (1 / p + 1 / q) * F.greatest(1 - (a + b) / n, F.lit(1e-9))))
         .where((F.col("chi") >= 30) & (a + b >= 5)).orderBy(F.desc("chi"), "term").limit(most_terms).collect()
     )
     names = [r["term"] for r in picked]
     idf = [float(np.log(1 + n / (r["a"] + r["b"]))) for r in picked]
     place = {t: i for i, t in enumerate(names)}
-    rows = terms.where(F.col("term").isin(names)).groupBy("id", "y").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms")).orderBy("id").collect() if names else []
+    rows = terms.where(F.col("term").isin(names)).groupBy("g").agg(F.min("id").alias("id")).join(terms, ["g", "id"]).where(F.col("term").isin(names)).groupBy("id", "y").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms")).orderBy("id").collect() if names else []
     examples = [(r["id"], r["y"], [place[t["term"]] for t in r["terms"]], [t["tf"] for t in r["terms"]]) for r in rows]
     seen = len(examples)
     return Model(names, idf, examples, k, (p - sum(e[1] for e in examples) + 0.5) / (n - seen + 1))
