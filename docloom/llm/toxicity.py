@@ -28,9 +28,9 @@ def features(text: str) -> Counter:
 
 
 def copy_group(text: str) -> int:
-    """The least hash of a text's runs of three words: near copies mostly share it, other texts don't."""
+    """The least hash of a text's runs of five words: near copies mostly share it, other texts don't."""
     words = text.lower().split()
-    return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
+    return min((zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))), default=0)
 
 
 class BlockMaxIndex:
