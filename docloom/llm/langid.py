@@ -14,7 +14,7 @@ from docloom.llm.common import arrow_append, arrow_map, sample_below
 
 _WORD = regex.compile(r"\p{L}+")
 LONGEST, UNKNOWN = 5, "und"
-_KEPT = 1 << 17
+_KEPT = 1 << 18
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -33,47 +33,60 @@ class Model:
     def __init__(self, langs: list[str], entries: list[tuple[int, str, str, int]]):
         """entries: (n, gram, language, count); n is 0 for words."""
         self.langs, at = langs, {x: i for i, x in enumerate(langs)}
-        totals, counts = np.ones((LONGEST + 1, len(langs))), {}
+        self.grams: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # to rows of table
+        ranks, columns, counts, sizes = [], [], [], []
         for n, gram, lang, count in entries:
-            row = counts.get((n, gram))
-            if row is None:
-                row = counts[n, gram] = np.zeros(len(langs))
-            row[at[lang]] += count
-            totals[n, at[lang]] += count
-        self.grams = [{} for _ in range(LONGEST + 1)]
-        for (n, gram), row in counts.items():
-            self.grams[n][gram] = np.log((row + 0.5) / (totals[n] + 0.5))
-        self.places: dict[str, int] = {}
-        self.rows = np.zeros((0, len(langs)))
-        self.known = len(self.grams[0])
+            if gram not in self.grams[n]:
+                self.grams[n][gram] = len(sizes)
+                sizes.append(n)
+            ranks.append(self.grams[n][gram])
+            columns.append(at[lang])
+            counts.append(count)
+        self.table = np.zeros((len(sizes), len(langs)))
+        np.add.at(self.table, (ranks, columns), counts)
+        sizes = np.array(sizes, int)
+        for n in range(LONGEST + 1):
+            own = sizes == n
+            self.table[own] = np.log((self.table[own] + 0.5) / (self.table[own].sum(axis=0) + 1.5))
+        self.table -= self.table.max(axis=1, keepdims=True) if len(sizes) and langs else 0
         self._reset()
 
     def _reset(self) -> None:
-        self.places = {w: i for i, w in enumerate(self.grams[0])}
-        self.rows = np.zeros((max(1024, 2 * len(self.places)), len(self.langs)))
-        for w, i in self.places.items():
-            self.rows[i] = self.grams[0][w] - self.grams[0][w].max()
+        """Forgets the rows of unseen words."""
+        self.places = dict(self.grams[0])
+        self.known = len(self.table)
+        self.used = self.known
+        self.rows = np.vstack([self.table, np.zeros((1024, len(self.langs)))])
 
     def backoff(self, word: str) -> np.ndarray:
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            found = [self.grams[n][g] for g in grams(word, n) if g in self.grams[n]]
+            get = self.grams[n].get
+            found = [i for g in grams(word, n) if (i := get(g)) is not None]
             if found:
-                row = np.mean(found, axis=0)
+                row = self.table[found].sum(axis=0) / len(found)
                 return (row - row.max()) * 0.8 ** (LONGEST + 1 - n)
         return np.zeros(len(self.langs))
 
+    def __getstate__(self):
+        return self.langs, self.grams, self.table
+
+    def __setstate__(self, state):
+        self.langs, self.grams, self.table = state
+        self._reset()
+
     def place(self, word: str) -> int:
-        at = len(self.places)
+        at = self.used
         if at == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows[: max(1024, at // 2)])])
         self.rows[at], self.places[word] = self.backoff(word), at
+        self.used += 1
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.places) > _KEPT + self.known:
+        if self.used > _KEPT + self.known:
             self._reset()
         get, place = self.places.get, self.place
         idx = [i if (i := get(w)) is not None else place(w) for w in words]
@@ -83,7 +96,7 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def train(labelled: DataFrame, fit_docs: int = 6000, per_lang: int = 8000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", entries: int = 200_000) -> Model:
+def train(labelled: DataFrame, fit_docs: int = 6000, per_lang: int = 20000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", entries: int = 400_000) -> Model:
     """A model from labelled rows (text and lang not null; others are left out).
 
     It is fitted on a bounded sample: about fit_docs rows with their whole texts, picked by a hash of the id. Per language and n the per_lang most frequent grams are kept, fewer if there are so many
