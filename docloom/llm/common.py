@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+ROW_GROUP = 32 << 20  # bytes: what a task that writes or reads a stored table buffers
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/docloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +52,14 @@ def sample_below(df: DataFrame, column: str, rows: int, total: int) -> DataFrame
     return df.where(F.pmod(F.xxhash64(column, F.lit("fit")), F.lit(2**31)) < share)
 
 
+def released() -> None:
+    """Gives what a finished task freed back to the system: idle Python workers live on beside the stages after it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: str, batch_bytes: int = 8 << 20) -> DataFrame:
     """mapInArrow over slices of about batch_bytes. rows gets the input columns as lists and returns output columns."""
     from pyspark.sql.types import StructType
@@ -64,6 +74,9 @@ def arrow_map(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: s
                 part = batch.slice(at, step)
                 out = rows([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, target)], schema=target)
+                part = out = None
+        batch = None
+        released()
 
     return df.mapInArrow(run, schema)
 
@@ -86,5 +99,8 @@ def arrow_append(df: DataFrame, column: str, values: Callable[[list], list[list]
                 out = values(part.column(at).to_pylist())
                 arrays = [*part.columns, *(pa.array(c, type=f.type) for c, f in zip(out, types))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                part = out = arrays = None
+        batch = None
+        released()
 
     return df.mapInArrow(run, schema)
