@@ -225,6 +225,14 @@ class DocxReader:
                         out[-1]["c"] += b["c"]
                     elif out and b["t"] == out[-1]["t"] == "CodeBlock":
                         out[-1]["c"][1] += "\n" + b["c"][1]
+                    elif out and b["t"] == out[-1]["t"] == "DefinitionList":
+                        term, bodies = b["c"][0]
+                        if term:
+                            out[-1]["c"] += b["c"]
+                        else:
+                            out[-1]["c"][-1][1] += bodies
+                    elif b["t"] == "DefinitionList" and not b["c"][0][0]:  # no term before it
+                        out += b["c"][0][1][0]
                     else:
                         out.append(b)
             elif name == "tbl":
@@ -274,6 +282,10 @@ class DocxReader:
             return [el("CodeBlock", attr(), "".join("\n" if local(t.tag) == "br" else t.text or "" for t in p.iter() if local(t.tag) in ("t", "br")))], None
         if not inner:
             return [], None
+        if names[:1] == ["definition term"]:
+            return [el("DefinitionList", [[inner, []]])], None
+        if names[:1] == ["definition"]:
+            return [el("DefinitionList", [[[], [[el("Para", inner)]]]])], None
         if {"block text", "quote", "block quote", "intense quote"} & set(names):
             return [el("BlockQuote", [el("Para", inner)])], None
         block = [el("Plain" if "compact" in names else "Para", inner)]

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docloom import queries
+from docloom import ast, queries
 from docloom.ast import walk
 from docloom.functions import text as fn
 from docloom.operators import relational as rel
@@ -78,6 +78,15 @@ def test_self_referring_note_ends():
     assert write_text(packages.read_docx(packages.zipped(loop))[0], "plain") == "a[1]\n\n[1] b\n"
 
 
+def test_docx_definition_list_round_trip():
+    para = lambda x: ast.el("Para", [ast.el("Str", x)])
+    made = ast.el("DefinitionList", [[[ast.el("Str", "a")], [[para("one")], [para("two")]]], [[ast.el("Str", "b")], [[para("three")]]]])
+    tree = {"pandoc-api-version": [1, 23, 1], "meta": {}, "blocks": [made, para("after")]}
+    assert packages.read_docx(packages.write_docx(tree))[0]["blocks"] == [made, para("after")]
+    alone = packages.zipped([("word/document.xml", f'<w:document {packages._NS}><w:body><w:p><w:pPr><w:pStyle w:val="Definition"/></w:pPr><w:r><w:t>x</w:t></w:r></w:p></w:body></w:document>')])
+    assert packages.read_docx(alone)[0]["blocks"] == [para("x")]
+
+
 def test_merged_cells_of_a_docx_table():
     cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
     rows = [cell("a", '<w:vMerge w:val="restart"/>') + cell("b", '<w:gridSpan w:val="2"/>'), cell("", "<w:vMerge/>") + cell("c") + cell("d")]
