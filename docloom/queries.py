@@ -427,3 +427,6 @@ def longest_runs(spark, sf_dir):
 def lengths(spark, sf_dir):
     unit = F.element_at(F.array(F.lit("cm"), F.lit("in"), F.lit("mm")), F.col("p_size") % 3 + 1)
     return table(spark, sf_dir, "part").select("p_partkey", F.round(fn.length_mm(F.concat(F.col("p_size").cast("string"), unit)), 6).alias("mm"))
+
+
+from docloom import node_queries  # noqa: E402, F401 - registers its own
