@@ -67,7 +67,7 @@ def tabs_expanded(line: Column, stop: int = 4) -> Column:
 
 
 def multiset_intersection(a: Column, b: Column) -> Column:
-    """Elements of a, in order, each as often at most as b holds it."""
+    """Elements of a, in order, each as often at most as b holds it. Quadratic in the arrays: for the few modifiers of a run."""
     return F.filter(a, lambda x, i: _seen(a, x, i) <= F.size(F.filter(b, lambda y: y == x)))
 
 

@@ -41,7 +41,7 @@ def numbering_levels(spark, sf_dir):
     paragraphs = part.select("p_partkey", (F.col("p_partkey") % 25).cast("int").alias("num"), (F.col("p_partkey") % 6).cast("int").alias("level"))
     nums = nation.select(F.col("n_nationkey").alias("num"), F.lit(1).alias("abstract"))
     levels = spark.range(6).select(F.lit(1).alias("abstract"), F.col("id").cast("int").alias("level"), F.when(F.col("id") % 2 == 0, "decimal").otherwise("bullet").alias("format"), (F.col("id") % 3 + 1).cast("int").alias("start"))
-    overrides = nation.where("n_nationkey % 5 = 0").crossJoin(spark.range(6)).select(F.col("n_nationkey").alias("num"), F.col("id").cast("int").alias("level"), (F.col("n_nationkey") + 100).alias("start"))
+    overrides = nation.where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("num"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("level"), (F.col("n_nationkey") + 100).alias("start"))
     return rw.numbering_levels(paragraphs, nums, levels, overrides).select("p_partkey", "format", "start")
 
 
