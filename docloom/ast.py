@@ -95,6 +95,23 @@ def walk(nodes: list) -> Iterator[dict]:
             yield from walk(inner)
 
 
+def tallies(nodes: list) -> tuple[dict[str, int], int]:
+    """How many nodes of each kind there are, and how many levels they are nested in."""
+    counts: dict[str, int] = {}
+    levels, now = 0, nodes
+    while now:
+        levels += 1
+        below: list = []
+        for n in now:
+            t = n["t"]
+            counts[t] = counts.get(t, 0) + 1
+            if t not in LEAVES:
+                for _, inner in kids(n):
+                    below += inner
+        now = below
+    return counts, levels
+
+
 def rewrite(nodes: list, f: Callable[[list], list]) -> list:
     """Applies f to every list of nodes, inner lists first; nodes are changed in place."""
     for node in nodes:
@@ -119,8 +136,13 @@ def text_of(nodes: list) -> str:
     return "".join(out)
 
 
-def depth(nodes: list, level: int = 1) -> int:
-    return max((depth(inner, level + 1) for n in nodes for _, inner in kids(n)), default=level)
+def depth(nodes: list) -> int:
+    """How many levels nodes are nested in, at least 1."""
+    levels = 0
+    while nodes:
+        levels += 1
+        nodes = [x for n in nodes if n["t"] not in LEAVES for _, inner in kids(n) for x in inner]
+    return max(1, levels)
 
 
 def merge(nodes: list) -> list:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from docloom import ast
+from docloom.plans.batches import byte_slices, spread
 from docloom.operators.writers import WRITERS, write_text
 from docloom.sources import packages
 from docloom.sources.html import read_html
 from docloom.sources.markdown import DIALECTS, read_markdown
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, OUT_ROWS = 8 << 20, 20_000
 PACKAGES = {"docx": (packages.read_docx, packages.write_docx), "odt": (packages.read_odt, packages.write_odt), "epub": (packages.read_epub, packages.write_epub), "ipynb": (packages.read_notebook, lambda doc, media=None: packages.write_notebook(doc))}
 READABLE = (*DIALECTS, "html", "json", *PACKAGES)
 WRITABLE = (*WRITERS, "json", *PACKAGES)
@@ -61,19 +64,55 @@ def attempt(f, *args):
 
 
 def _kernel(df: DataFrame, rows, schema: str) -> DataFrame:
-    """mapInArrow in slices of about BATCH_BYTES; rows yields output tuples for an input row."""
+    """mapInArrow in slices of at most BATCH_BYTES; rows yields output tuples for an input row, which leave in batches of
+    OUT_ROWS as they come. Tables of few files are dealt over the cores first."""
     target = to_arrow_schema(StructType.fromDDL(schema))
 
+    def packed(part: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*part), target)], schema=target)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                found = [r for values in zip(*(c.to_pylist() for c in batch.slice(at, step).columns)) for r in rows(*values)]
-                for k in range(0, len(found), 50_000):
-                    part = list(zip(*found[k : k + 50_000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(part, target)], schema=target)
+            found: list[tuple] = []
+            for part in byte_slices(batch, BATCH_BYTES):
+                for values in zip(*(c.to_pylist() for c in part.columns)):
+                    found.extend(rows(*values))
+                    while len(found) >= OUT_ROWS:
+                        yield packed(found[:OUT_ROWS])
+                        del found[:OUT_ROWS]
+                if found:
+                    yield packed(found)
+                    found = []
+
+    return spread(df).mapInArrow(run, schema)
+
+
+@dataclass
+class Source:
+    """Documents that are still to be read: nodes(), texts(), cells() and metadata() read and flatten them in one pass,
+    without a tree as text in between."""
+
+    columns: DataFrame  # doc_id, content, format
+
+    def __init__(self, docs: DataFrame, fmt: str | None = None, content: str = "content", id_col: str = "doc_id"):
+        self.columns = docs.select(F.col(id_col).alias("doc_id"), F.col(content).alias("content"), F.lit(fmt).alias("format") if fmt else F.col("format"))
+
+
+def _of_trees(asts: DataFrame | Source, rows, schema: str) -> DataFrame:
+    """(doc_id, *schema): rows(tree) of each document, read from parse()'s rows or from a Source; refused and null ones have none."""
+    if isinstance(asts, Source):
+        columns = asts.columns
+
+        def each(doc_id, data, kind):
+            found, _ = attempt(read_one, data, kind) if data is not None else (None, None)
+            return ((doc_id, *r) for r in rows(found[0])) if found else ()
+    else:
+        columns = asts.select("doc_id", "ast_json")
 
-    return df.mapInArrow(run, schema)
+        def each(doc_id, tree):
+            return ((doc_id, *r) for r in rows(json.loads(tree))) if tree else ()
+
+    return _kernel(columns, each, f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
 def parse(docs: DataFrame, fmt: str | None = None, content: str = "content", id_col: str = "doc_id") -> DataFrame:
@@ -121,71 +160,104 @@ def render(asts: DataFrame, target: str) -> DataFrame:
     return convert(asts.select("doc_id", "ast_json"), "json", target, "ast_json")
 
 
-NODE = "pre int, post int, parent int, depth int, ord int, role string, tag string, text string, level int, id string, classes array<string>, url string, title string"
+NODE = {
+    "pre": "int", "post": "int", "parent": "int", "depth": "int", "ord": "int", "role": "string", "tag": "string", "text": "string", "level": "int",
+    "id": "string", "classes": "array<string>", "url": "string", "title": "string",
+}
 
 
 WITH_ATTR = frozenset(("Table", "Figure", "Div", "Span", "Link", "Image", "Code", "CodeBlock"))
+_SPACES = frozenset(("Space", "SoftBreak", "LineBreak"))
+
 
+def flat(blocks: list, tags: frozenset[str] | None = None) -> list[tuple]:
+    """The rows of a tree in pre-order; post ranks close the intervals, so x is below y if y.pre < x.pre and x.post < y.post.
 
-def flat(blocks: list) -> list[tuple]:
-    """The rows of a tree in pre-order; post ranks close the intervals, so x is below y if y.pre < x.pre and x.post < y.post."""
+    With tags only nodes of those are listed, under the numbers that they have among all.
+    """
     out: list = []
-    post = 0
+    pres = posts = 0
 
     def visit(node, parent, level, place, role):
-        nonlocal post
-        t, c, pre = node["t"], node.get("c"), len(out)
-        out.append(None)
-        a = c[1] if t == "Header" else c[0] if t in WITH_ATTR else None
-        text = c if t == "Str" else c[1] if t in ("Code", "CodeBlock", "RawBlock", "RawInline", "Math") else None
-        target = c[2] if t in ("Link", "Image") else (None, None)
-        at = 0
+        nonlocal pres, posts
+        t, pre = node["t"], pres
+        pres += 1
+        wanted = tags is None or t in tags
+        at = len(out)
+        if t == "Str":
+            if wanted:
+                out.append((pre, posts, parent, level, place, role, t, node["c"], None, None, None, None, None))
+            posts += 1
+            return
+        if t in _SPACES:
+            if wanted:
+                out.append((pre, posts, parent, level, place, role, t, None, None, None, None, None, None))
+            posts += 1
+            return
+        if wanted:
+            out.append(None)
+        c, n = node.get("c"), 0
         for slot, (inner_role, inner) in enumerate(ast.kids(node)):
+            own = inner_role if inner_role in ("content", "alt") else f"{inner_role}:{slot}"
             for k in inner:
-                visit(k, pre, level + 1, at, inner_role if inner_role in ("content", "alt") else f"{inner_role}:{slot}")
-                at += 1
-        out[pre] = (pre, post, parent, level, place, role, t, text, c[0] if t == "Header" else c[0][0] if t == "OrderedList" else None, a[0] if a else None, a[1] if a else None, target[0], target[1])
-        post += 1
+                visit(k, pre, level + 1, n, own)
+                n += 1
+        if wanted:
+            a = c[1] if t == "Header" else c[0] if t in WITH_ATTR else None
+            text = c[1] if t in ("Code", "CodeBlock", "RawBlock", "RawInline", "Math") else None
+            target = c[2] if t in ("Link", "Image") else (None, None)
+            out[at] = (pre, posts, parent, level, place, role, t, text, c[0] if t == "Header" else c[0][0] if t == "OrderedList" else None, a[0] if a else None, a[1] if a else None, target[0], target[1])
+        posts += 1
 
     for i, b in enumerate(blocks):
         visit(b, None, 0, i, "content")
     return out
 
 
-def nodes(asts: DataFrame) -> DataFrame:
-    """The node table of parse()'s rows; refused documents have no nodes."""
-    def rows(doc_id, tree):
-        return [(doc_id, *n) for n in flat(json.loads(tree)["blocks"])] if tree else []
+def nodes(asts: DataFrame | Source, tags: tuple[str, ...] | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The node table of parse()'s rows or of a Source; refused documents have no nodes. tags and columns name what is
+    wanted of it, so that the rest never leaves the reader."""
+    kept, at = frozenset(tags) if tags else None, [list(NODE).index(c) for c in columns or NODE]
+    pick = (lambda r: r) if columns is None else itemgetter(*at) if len(at) > 1 else (lambda r: (r[at[0]],))
+    return _of_trees(asts, lambda doc: map(pick, flat(doc["blocks"], kept)), ", ".join(f"{c} {NODE[c]}" for c in columns or NODE))
+
+
+def node_counts(asts: DataFrame | Source, tags: tuple[str, ...]) -> DataFrame:
+    """(doc_id, one long per tag, depth): how many nodes of each tag a tree holds, and how deep it is nested."""
 
-    return _kernel(asts.select("doc_id", "ast_json"), rows, f"doc_id {asts.schema['doc_id'].dataType.simpleString()}, {NODE}")
+    def rows(doc):
+        found, depth = ast.tallies(doc["blocks"])
+        return [(*(found.get(t, 0) for t in tags), depth)]
 
+    return _of_trees(asts, rows, ", ".join(f"`{t}` long" for t in tags) + ", depth int")
 
-def texts(asts: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+
+def texts(asts: DataFrame | Source, tags: tuple[str, ...]) -> DataFrame:
     """(doc_id, pre, tag, level, id, text): running text of every node of the tags, notes left out."""
-    def rows(doc_id, tree):
-        found = json.loads(tree)["blocks"] if tree else []
-        return [(doc_id, i, n["t"], n["c"][0] if n["t"] == "Header" else None, n["c"][1][0] if n["t"] == "Header" else None, ast.text_of([n])) for i, n in enumerate(ast.walk(found)) if n["t"] in tags]
 
-    return _kernel(asts.select("doc_id", "ast_json"), rows, f"doc_id {asts.schema['doc_id'].dataType.simpleString()}, pre int, tag string, level int, id string, text string")
+    def rows(doc):
+        return [(i, n["t"], n["c"][0] if n["t"] == "Header" else None, n["c"][1][0] if n["t"] == "Header" else None, ast.text_of([n])) for i, n in enumerate(ast.walk(doc["blocks"])) if n["t"] in tags]
+
+    return _of_trees(asts, rows, "pre int, tag string, level int, id string, text string")
 
 
-def cells(asts: DataFrame) -> DataFrame:
-    """(doc_id, table, section, row, col, row_span, col_span, text) of all tables."""
-    def rows(doc_id, tree):
-        tables = [n["c"] for n in ast.walk(json.loads(tree)["blocks"]) if n["t"] == "Table"] if tree else []
-        return [(doc_id, t, section, r, i, c[2], c[3], ast.text_of(c[4])) for t, table in enumerate(tables) for section, r, row in ast.cells_of(table) for i, c in enumerate(row)]
+def cells(asts: DataFrame | Source) -> DataFrame:
+    """(doc_id, table, section, row, col, row_span, col_span, align, text) of all tables."""
 
-    return _kernel(asts.select("doc_id", "ast_json"), rows, f"doc_id {asts.schema['doc_id'].dataType.simpleString()}, table int, section string, row int, col int, row_span int, col_span int, text string")
+    def rows(doc):
+        for t, table in enumerate(n["c"] for n in ast.walk(doc["blocks"]) if n["t"] == "Table"):
+            for section, r, row in ast.cells_of(table):
+                for i, c in enumerate(row):
+                    yield t, section, r, i, c[2], c[3], c[1]["t"], ast.text_of(c[4])
 
+    return _of_trees(asts, rows, "table int, section string, row int, col int, row_span int, col_span int, align string, text string")
 
-def metadata(asts: DataFrame) -> DataFrame:
+
+def metadata(asts: DataFrame | Source) -> DataFrame:
     """(doc_id, key, ord, value) of all metadata, as text."""
     from docloom.operators.writers import meta_texts
 
-    def rows(doc_id, tree):
-        return [(doc_id, k, i, v) for k, m in sorted(json.loads(tree)["meta"].items()) for i, v in enumerate(meta_texts(m))] if tree else []
-
-    return _kernel(asts.select("doc_id", "ast_json"), rows, f"doc_id {asts.schema['doc_id'].dataType.simpleString()}, key string, ord int, value string")
+    return _of_trees(asts, lambda doc: [(k, i, v) for k, m in sorted(doc["meta"].items()) for i, v in enumerate(meta_texts(m))], "key string, ord int, value string")
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:

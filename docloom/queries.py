@@ -107,15 +107,14 @@ def html_round_trip(spark, sf_dir):
 SELECT doc_id, len(regexp_extract_all(text, '[^ \n]+'))::BIGINT AS words, len(regexp_extract_all(text, ' +'))::BIGINT AS spaces, len(regexp_extract_all(text, '\n'))::BIGINT AS breaks FROM documents
 """)
 def node_counts(spark, sf_dir):
-    """Nodes of the flattened trees by kind."""
-    nodes = doc.nodes(doc.parse(table(spark, sf_dir, "documents"), "commonmark", "text"))
-    n = lambda tag, name: F.count_if(F.col("tag") == tag).alias(name)
-    return nodes.groupBy("doc_id").agg(n("Str", "words"), n("Space", "spaces"), n("SoftBreak", "breaks"))
+    """Nodes of the trees by kind, counted where they are read."""
+    found = doc.node_counts(doc.Source(table(spark, sf_dir, "documents"), "commonmark", "text"), ("Str", "Space", "SoftBreak"))
+    return found.select("doc_id", F.col("Str").alias("words"), F.col("Space").alias("spaces"), F.col("SoftBreak").alias("breaks"))
 
 
 @query("SELECT doc_id, 2::INT AS depth FROM documents")
 def tree_depths(spark, sf_dir):
-    nodes = doc.nodes(doc.parse(table(spark, sf_dir, "documents"), "commonmark", "text"))
+    nodes = doc.nodes(doc.Source(table(spark, sf_dir, "documents"), "commonmark", "text"), columns=("depth",))
     return nodes.groupBy("doc_id").agg((F.max("depth") + 1).alias("depth"))
 
 
@@ -139,7 +138,7 @@ _ENT = "replace(replace(replace(replace({}, '&quot;', '\"'), '&middot;', '·'),
 
 @query(f"SELECT page_id, trim(regexp_replace({_ENT.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS title FROM pages WHERE regexp_extract(html, '<title>(.*?)</title>', 1) <> ''")
 def page_titles(spark, sf_dir):
-    meta = doc.metadata(doc.parse(table(spark, sf_dir, "pages"), "html", "html", "page_id"))
+    meta = doc.metadata(doc.Source(table(spark, sf_dir, "pages"), "html", "html", "page_id"))
     return meta.where("key = 'title'").select(F.col("doc_id").alias("page_id"), F.col("value").alias("title"))
 
 
@@ -147,8 +146,8 @@ def page_titles(spark, sf_dir):
 SELECT page_id, count(*)::BIGINT AS n, string_agg(u, ' ' ORDER BY u) AS urls FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS u FROM pages) GROUP BY page_id
 """)
 def page_links(spark, sf_dir):
-    nodes = doc.nodes(doc.parse(table(spark, sf_dir, "pages"), "html", "html", "page_id"))
-    return nodes.where("tag = 'Link'").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("url")), " ").alias("urls"))
+    links = doc.nodes(doc.Source(table(spark, sf_dir, "pages"), "html", "html", "page_id"), ("Link",), ("url",))
+    return links.groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("url")), " ").alias("urls"))
 
 
 @query(rf"""
@@ -156,7 +155,7 @@ SELECT page_id, regexp_replace(regexp_replace(trim(regexp_replace(lower({_ENT.fo
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>(.*?)</h1>', 1)) AS h FROM pages)
 """)
 def page_heading_ids(spark, sf_dir):
-    texts = doc.texts(doc.parse(table(spark, sf_dir, "pages"), "html", "html", "page_id"), ("Header",))
+    texts = doc.texts(doc.Source(table(spark, sf_dir, "pages"), "html", "html", "page_id"), ("Header",))
     return texts.select(F.col("doc_id").alias("page_id"), "id")
 
 
@@ -187,7 +186,7 @@ SELECT r_regionkey::BIGINT AS doc_id, 1 AS level, '1' AS number, r_name AS text
 UNION ALL SELECT n_regionkey, 2, '1.' || i, n_name FROM n UNION ALL SELECT n_regionkey, 3, '1.' || i || '.' || j, c_name FROM c
 """)
 def section_numbers(spark, sf_dir):
-    heads = doc.texts(doc.parse(_outline(spark, sf_dir), "gfm"), ("Header",))
+    heads = doc.texts(doc.Source(_outline(spark, sf_dir), "gfm"), ("Header",))
     return rel.section_numbers(heads).select("doc_id", "level", "number", "text")
 
 
@@ -196,7 +195,7 @@ SELECT r_regionkey::BIGINT AS doc_id, r_name AS text, NULL::VARCHAR AS parent FR
 UNION ALL SELECT n_regionkey, n_name, r_name FROM n JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT n_regionkey, c_name, n_name FROM c
 """)
 def toc_entries(spark, sf_dir):
-    heads = rel.toc(doc.texts(doc.parse(_outline(spark, sf_dir), "gfm"), ("Header",)))
+    heads = rel.toc(doc.texts(doc.Source(_outline(spark, sf_dir), "gfm"), ("Header",)))
     parents = heads.select("doc_id", F.col("pre").alias("parent"), F.col("text").alias("of"))
     return heads.join(parents, ["doc_id", "parent"], "left").select("doc_id", "text", F.col("of").alias("parent"))
 
@@ -226,14 +225,14 @@ def gfm_tables(spark, sf_dir):
     line = F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), "n_name", F.lit(" |"))
     rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("lines"))
     made = rows.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("| key | name |\n|---:|:---|\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("content"))
-    return doc.cells(doc.parse(made, "gfm")).select("doc_id", "section", "row", "col", "text")
+    return doc.cells(doc.Source(made, "gfm")).select("doc_id", "section", "row", "col", "text")
 
 
 @query("SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT - 1 AS item, 'order ' || o_orderkey AS text FROM orders")
 def list_items(spark, sf_dir):
     """Each customer's orders as a numbered list, parsed into items."""
     made = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("os")).select("doc_id", F.array_join(F.transform("os", lambda o, i: F.concat((i + 1).cast("string"), F.lit(". order "), o.cast("string"))), "\n").alias("content"))
-    items = doc.texts(doc.parse(made, "commonmark"), ("Plain",))
+    items = doc.texts(doc.Source(made, "commonmark"), ("Plain",))
     return items.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")) - 1).alias("item"), "text")
 
 
@@ -247,7 +246,7 @@ def footnotes(spark, sf_dir):
     ref = docs.select("doc_id", F.concat(F.lit("see[^"), key, F.lit("]")).alias("ref"))
     define = labels.select("doc_id", F.concat(F.lit("\n\n[^"), key, F.lit("]: quality "), F.col("quality").cast("string"), F.lit(" toxic "), F.col("toxic").cast("string")).alias("def"))
     made = ref.join(define, "doc_id", "left").select("doc_id", F.concat("ref", F.coalesce("def", F.lit(""))).alias("content"))
-    nodes = doc.nodes(doc.parse(made, "gfm"))
+    nodes = doc.nodes(doc.Source(made, "gfm"))
     notes = rel.subtree_text(nodes, "Note").select("doc_id", F.col("text").alias("note"))
     return docs.join(notes, "doc_id", "left")
 
@@ -286,7 +285,7 @@ def media_used(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     made = part.select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("![a](<"), "p_brand", F.lit(".png>)"))).otherwise(F.lit("none")).alias("content"))
     media = part.select(F.col("p_partkey").alias("doc_id"), F.explode(F.array(F.concat("p_brand", F.lit(".png")), F.lit("other.png"))).alias("url"))
-    return rel.used_media(media, doc.nodes(doc.parse(made, "commonmark")))
+    return rel.used_media(media, doc.nodes(doc.Source(made, "commonmark"), ("Image",), ("tag", "url")))
 
 
 @query("""

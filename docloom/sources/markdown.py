@@ -500,15 +500,21 @@ def flanking(text: str, start: int, end: int) -> tuple[bool, bool]:
     return left, right
 
 
-_GAP = re.compile("[ \\n]+")
+_TOKEN = re.compile("[^ \\n]+|[ \\n]+")
+_GAPS = {" ": "Space", "\n": "SoftBreak"}
+
+
+def gap_of(gap: str) -> dict:
+    """The node of a run of blanks and line ends: two blanks before a line end make it hard."""
+    return {"t": "LineBreak" if "\n" in gap and gap.startswith("  ") else "SoftBreak" if "\n" in gap else "Space"}
 
 
 @lru_cache
 def _plain_run(dialect: str) -> re.Pattern:
-    """Characters that mean nothing by themselves in a dialect."""
+    """Characters that mean nothing by themselves in a dialect, blanks and line ends among them."""
     d = DIALECTS[dialect]
     marks = "~" * (d.strike or d.scripts) + "$" * d.math + "^" * d.scripts
-    return re.compile(rf"[^\\`*_\[\]!<&\n {re.escape(marks)}]+")
+    return re.compile(rf"[^\\`*_\[\]!<&{re.escape(marks)}]+")
 
 
 def parse_inlines(text: str, state: State) -> list:
@@ -519,8 +525,10 @@ def parse_inlines(text: str, state: State) -> list:
     while i < n:
         c = text[i]
         if m := plain.match(text, i):
-            out.append({"t": "Str", "c": m[0]})
+            out += [{"t": kind} if (kind := _GAPS.get(t)) else {"t": "Str", "c": t} if t[0] not in " \n" else gap_of(t) for t in _TOKEN.findall(m[0])]
             i = m.end()
+            if i == n and out[-1]["t"] == "LineBreak":
+                out[-1] = el("SoftBreak")
         elif c == "\\":
             if i + 1 < n and text[i + 1] == "\n":
                 out.append(el("LineBreak"))
@@ -533,16 +541,6 @@ def parse_inlines(text: str, state: State) -> list:
             else:
                 out.append(el("Str", c))
                 i += 1
-        elif c in " \n":
-            j = _GAP.match(text, i).end()
-            gap = text[i:j]
-            if gap == " ":
-                out.append({"t": "Space"})
-                i = j
-                continue
-            hard = "\n" in gap and len(gap.split("\n")[0]) >= 2 and j < n
-            out.append(el("LineBreak") if hard else el("SoftBreak") if "\n" in gap else el("Space"))
-            i = j
         elif c == "`":
             m = re.compile("`+").match(text, i)
             close = re.compile(rf"(?<!`){m[0]}(?!`)").search(text, m.end())
