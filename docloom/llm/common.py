@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.plans.batches import byte_slices
+
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 ROW_GROUP = 32 << 20  # bytes: what a task that writes or reads a stored table buffers
 
@@ -61,7 +63,7 @@ def released() -> None:
 
 
 def arrow_map(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: str, batch_bytes: int = 8 << 20) -> DataFrame:
-    """mapInArrow over slices of about batch_bytes. rows gets the input columns as lists and returns output columns."""
+    """mapInArrow over slices of at most batch_bytes, cut by their rows' bytes. rows gets the input columns as lists and returns output columns."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -69,9 +71,7 @@ def arrow_map(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, int(batch.num_rows * batch_bytes / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in byte_slices(batch, batch_bytes):
                 out = rows([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, target)], schema=target)
                 part = out = None
@@ -93,9 +93,7 @@ def arrow_append(df: DataFrame, column: str, values: Callable[[list], list[list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, int(batch.num_rows * batch_bytes / max(1, batch.nbytes)))
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
+            for part in byte_slices(batch, batch_bytes):
                 out = values(part.column(at).to_pylist())
                 arrays = [*part.columns, *(pa.array(c, type=f.type) for c, f in zip(out, types))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
