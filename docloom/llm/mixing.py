@@ -9,17 +9,22 @@ from pyspark.sql.window import Window
 from docloom.llm.common import WORD_CLASS, stored
 
 WEIGHTS = (5, 2, 1)  # by the source's place in code-point order, repeating
-SHARE, CEILING, SEED, TURNS = 1.5, 2.0, "mix-1", 32
+SHARE, CEILING, SEED = 1.5, 2.0, "mix-1"
+LONG = 10_000  # a document is long if it holds over 1 / LONG of its source's words
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
+def _uniform(key: Column) -> Column:
+    """A number in [0, 1) from the first 52 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+
+
 def drawn(seed: str) -> Column:
-    """u, uniform in [0, 1), from the first 52 bits of the MD5 of doc_id and seed."""
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed))
-    return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))).alias("u")
+    """u, a row's draw: uniform in [0, 1) by the hash of doc_id and seed."""
+    return _uniform(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed))).alias("u")
 
 
 def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -42,47 +47,59 @@ def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, ceilin
     return ranked.withColumn("target", F.when(full, F.col("cap")).otherwise(F.col("weight") * open_level)).select("source", "source_size", "target")
 
 
-def _copies(turn: Column) -> Column:
-    """floor(rate) copies and one more with the fraction's probability, by the draw u turned by turn / TURNS around [0, 1)."""
-    turned = F.col("u") + turn / F.lit(float(TURNS))
-    turned = turned - (turned >= 1).cast("double")
-    return (F.floor("rate") + (turned < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-
+def rates(sizes: DataFrame, **how) -> DataFrame:
+    """(source, source_size, target, rate) from rows of source and size, stored; a source without words has rate 0.
 
-def plan(sizes: DataFrame, **how) -> DataFrame:
-    """(source, source_size, target, rate, turn) from rows of source, size and draw u; a source without words has rate 0.
-
-    A plain set of Bernoulli draws misses its source's target by the weight of its long documents. Each draw keeps its
-    probability under a turn, so of TURNS turns of all of a source's draws the one nearest to the target is taken (ties:
-    the least). The result is a stored table with a row per source: Spark broadcasts it only if its stored size is under
-    the threshold, else it joins by a shuffle whose hot sources adaptive execution splits.
+    A row per source: Spark broadcasts it only if its stored size is under the threshold, else it joins by a shuffle
+    whose hot sources adaptive execution splits.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = stored(targets(per_source, **how).withColumn("rate", rate).coalesce(1), "mix-rates")
-    of = rated.select(F.col("source").alias("of"), "rate")
-    sums = [F.sum(F.col("size") * _copies(F.lit(t))).alias(f"t{t}") for t in range(TURNS)]
-    taken = sizes.join(of, F.col("source").eqNullSafe(F.col("of")), "left").groupBy("source").agg(*sums)
-    near = F.array(*[F.struct(F.abs(F.col(f"t{t}") - F.col("target")), F.lit(t).alias("turn")) for t in range(TURNS)])
-    turned = rated.join(taken.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
-    return stored(turned.select("source", "source_size", "target", "rate", F.array_min(near)["turn"].alias("turn")).coalesce(1), "mix-plan")
+    return stored(targets(per_source, **how).withColumn("rate", rate).coalesce(1), "mix-rates")
+
+
+def spaced_draws(sizes: DataFrame, rated: DataFrame, seed: str) -> DataFrame:
+    """(of, of_size, of_u, draw) for the long documents: those that hold over 1 / LONG of their source's words.
+
+    Independent draws of a few long documents would miss the target by their weight. Ordered by size, they are drawn at
+    even spaces instead: the document at place r takes its extra copy if a multiple of 1 lies in the r-th step of
+    length `fraction` after a start that the hash of source and seed sets, uniform in [0, 1). Each document's
+    probability is the fraction, whatever its place, and what neighbours of like size take comes near the fraction.
+    A source has at most LONG such documents, so a window by source is bounded.
+    """
+    start = _uniform(F.concat_ws(":", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), F.lit(seed)))
+    both = sizes.join(rated.select(F.col("source").alias("of"), "source_size", "rate"), F.col("source").eqNullSafe(F.col("of")))
+    long = both.where(F.col("size") * LONG > F.col("source_size")).select("source", "size", "u", "rate").distinct()
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), "u"))
+    at = start + place * (F.col("rate") - F.floor("rate"))
+    return stored(long.select(F.col("source").alias("of"), F.col("size").alias("of_size"), F.col("u").alias("of_u"), (at - F.floor(at)).alias("draw")), "mix-draws")
+
+
+def _with_copies(rows: DataFrame, rated: DataFrame, draws: DataFrame) -> DataFrame:
+    """rows (source, size, u, ...) with source_size, target, rate and copies: floor(rate) and one more if the row's draw is under the fraction."""
+    found = rows.join(rated.withColumnRenamed("source", "by"), F.col("source").eqNullSafe(F.col("by")), "left")
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")) & (F.col("u") == F.col("of_u"))
+    extra = F.coalesce("draw", "u") < F.col("rate") - F.floor("rate")
+    return found.join(draws, same, "left").withColumn("copies", (F.floor("rate") + extra.cast("long")).cast("long"))
 
 
 def copy_counts(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies) for every row of docs.
 
-    Null texts have size 0. Null sources are one source, the last. Null ids are drawn as the text "null". Repeated ids
-    and rows each stay and share their draw. An empty table gives an empty result; other columns aren't looked at.
+    copies is floor(rate), and one more with the probability of the rest: by the row's own draw, or for long documents
+    by spaced_draws(). Null texts have size 0. Null sources are one source, the last. Null ids are drawn as the text
+    "null". Rows of one id, source and size share their draw, and each of them stays. An empty table gives an empty
+    result; other columns aren't looked at.
     """
     sizes = stored(docs.select("doc_id", "source", words(F.col("text")).alias("size"), drawn(seed)), "mix-sizes")
-    found = sizes.join(plan(sizes, **how).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
-    return found.select("doc_id", "source", "size", "source_size", "target", "rate", _copies(F.col("turn")).alias("copies"))
+    rated = rates(sizes, **how)
+    return _with_copies(sizes, rated, spaced_draws(sizes, rated, seed)).select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
 
 
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """docs with each row as often as the mix takes it; columns and edge cases as in copy_counts()."""
-    sizes = stored(docs.select("source", words(F.col("text")).alias("size"), drawn(seed)), "mix-sizes")
-    per_source = plan(sizes, **how).select(F.col("source").alias("of"), "rate", "turn")
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("source"), drawn(seed))
-    found = rows.join(per_source, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("n", _copies(F.col("turn")).cast("int"))
-    return found.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("source"), words(F.col("text")).alias("size"), drawn(seed))
+    sizes = stored(rows.select("source", "size", "u"), "mix-sizes")
+    rated = rates(sizes, **how)
+    found = _with_copies(rows, rated, spaced_draws(sizes, rated, seed)).where("copies > 0")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

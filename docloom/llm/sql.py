@@ -21,15 +21,15 @@ WITH sized AS (
   SELECT doc_id, sized.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':mix-1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
-), turned AS (
-  SELECT *, u + turn / 32.0::DOUBLE - CASE WHEN u + turn / 32.0::DOUBLE >= 1 THEN 1 ELSE 0 END AS v FROM rated, (SELECT range AS turn FROM range(32))
-), taken AS (
-  SELECT *, ((floor(rate) + (v < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM turned
-), best AS (
-  SELECT source, arg_min(turn, {'off': off, 'turn': turn}) AS turn
-  FROM (SELECT source, turn, abs(sum(taken)::DOUBLE - any_value(target)) AS off FROM taken GROUP BY source, turn) GROUP BY source
+), long_ones AS (
+  SELECT source, size, u, ('0x' || substr(md5(coalesce('s' || source, 'n') || ':mix-1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+    + row_number() OVER (PARTITION BY source ORDER BY size DESC, u) * (rate - floor(rate)) AS spot
+  FROM (SELECT DISTINCT source, size, u, rate FROM rated WHERE size * 10000 > source_size)
+), draws AS (
+  SELECT source, size, u, spot - floor(spot) AS draw FROM long_ones
 )
-SELECT doc_id, size, source_size, target, taken FROM taken JOIN best ON taken.turn = best.turn AND taken.source IS NOT DISTINCT FROM best.source
+SELECT doc_id, r.size, source_size, target, ((floor(rate) + (coalesce(draw, r.u) < rate - floor(rate))::INT) * r.size)::BIGINT AS taken
+FROM rated r LEFT JOIN draws d ON r.source IS NOT DISTINCT FROM d.source AND r.size = d.size AND r.u = d.u
 """
 
 OP9 = """
