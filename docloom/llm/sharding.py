@@ -13,7 +13,8 @@ from docloom.llm.common import stored
 DIGIT = 10  # bits by which a cut is refined per pass
 DIGITS = 6
 SLACK = 0.004  # of a leaf's target: a cut may miss its median by so much to keep equal texts together
-BUCKETS = 256  # per shard, for slots
+NUMBERED = 100_000  # rows of a shard that are numbered in one group, about
+DIMS = ("bytes", "lang", "density")
 
 
 @dataclass
@@ -27,105 +28,121 @@ class Node:
 
 
 def key_of(value: Column, group: Column, row: Column) -> Column:
-    """A 60-bit key that orders by a 20-bit value, then by group, then by row: a cut can fall between any two rows."""
-    bits = lambda h, n: F.pmod(h, F.lit(2**n))
-    return F.shiftleft(value.cast("long"), 40) + F.shiftleft(bits(group, 20), 20) + bits(row, 20)
+    """A 60-bit key that orders by a 20-bit value, then by a hash of the group, then by one of the row: a cut can part rows of one value."""
+    bits = lambda h: F.pmod(h, F.lit(2**20))
+    return F.shiftleft(value.cast("long"), 40) + F.shiftleft(bits(group), 20) + bits(row)
 
 
-def _leaf(node: Node) -> Column:
-    """The first shard below the node of the tree so far that a row falls into, as nested CASE over the cuts."""
-    if not node.cut:
-        return F.lit(node.first)
-    dim, at = node.cut
-    return F.when(F.col(dim) < F.lit(at), _leaf(node.kids[0])).otherwise(_leaf(node.kids[1]))
+def _known(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """df joined on node with a row per node of the tree: as many as there are shards at most, whatever df's size."""
+    table = df.sparkSession.createDataFrame(rows, ", ".join(filter(None, ["node int", schema])))
+    return df.join(F.broadcast(table), "node")
 
 
-def _leaves(node: Node) -> list[Node]:
-    return [node] if not node.cut else [x for k in node.kids for x in _leaves(k)]
+def _key(dims: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*dims), F.col("dim"))
 
 
-def build(points: DataFrame, dims: list[str], shards: int) -> Node:
-    """The tree over points (size, and a 60-bit key per dimension) with `shards` leaves of near-equal total size.
+def _descended(points: DataFrame, levels: list[list[Node]], dims: tuple[str, ...]) -> DataFrame:
+    """points with node, the first shard below the node of the tree so far that a row falls into: a join a level."""
+    found = points.withColumn("node", F.lit(0))
+    for cut in levels:
+        rows = [(n.first, dims.index(n.cut[0]) + 1, n.cut[1], n.kids[1].first) for n in cut]
+        table = points.sparkSession.createDataFrame(rows, "node int, dim int, at long, right int")
+        found = found.join(F.broadcast(table), "node", "left").withColumn("node", F.when(_key(dims) >= F.col("at"), F.col("right")).otherwise(F.col("node"))).drop("dim", "at", "right")
+    return found
+
+
+def build(points: DataFrame, shards: int, dims: tuple[str, ...] = DIMS, slack: float = SLACK) -> list[list[Node]]:
+    """The tree over points (size, and a 60-bit key per dimension) with `shards` leaves of near-equal total size: its
+    inner nodes, level by level.
 
     Per level one aggregation finds each node's widest dimension, by the share of the root's range that its keys'
     values span; further ones find the weighted medians, DIGIT bits of the key a pass, until the size in the median's
-    digit is under SLACK of a leaf. A node of k leaves is cut at floor(k/2)/k of its size. Only a few numbers per node
+    digit is under slack of a leaf. A node of k leaves is cut at floor(k/2)/k of its size. A few numbers per node
     reach the driver; what a pass groups by is at most 2**DIGIT digits per node.
     """
-    root = Node(0, shards)
-    total = points.agg(F.sum("size")).first()[0]
-    if not total or shards < 2:
-        return root
-    slack, spans = SLACK * total / shards, {}
-    while todo := [n for n in _leaves(root) if n.shards > 1]:
-        at = points.withColumn("node", _leaf(root)).where(F.col("node").isin([n.first for n in todo]))
-        ranges = {r["node"]: r for r in at.groupBy("node").agg(F.sum("size").alias("w"), *[f(F.shiftright(d, 40)).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()}
-        for node in list(todo):
-            if node.first not in ranges:  # nothing in it: any cut will do
-                node.cut, node.kids = (dims[0], 2**60), [Node(node.first, node.shards - 1), Node(node.first + node.shards - 1, 1)]
-                todo.remove(node)
+    levels: list[list[Node]] = []
+    todo = [Node(0, shards)] if shards > 1 else []
+    spans: dict[str, int] = {}
+    while todo:
+        at = _descended(points, levels, dims)
+        spread = [f(F.shiftright(d, 40)).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
+        ranges = {r["node"]: r for r in _known(at, [(n.first,) for n in todo], "").groupBy("node").agg(F.sum("size").alias("w"), *spread).collect()}
         wide = lambda r, d: r[f"hi_{d}"] - r[f"lo_{d}"]
-        spans = spans or {d: max(1, wide(next(iter(ranges.values())), d)) for d in dims}
-        search = {n.first: [max(dims, key=lambda d: (wide(ranges[n.first], d) / spans[d], -dims.index(d))), 0, ranges[n.first]["w"] * (n.shards // 2) / n.shards] for n in todo}
-        found: dict[int, int] = {}
+        spans = spans or {d: max(1, wide(ranges[0], d)) if 0 in ranges else 1 for d in dims}
+        total = sum(r["w"] for r in ranges.values())
+        state = {}  # first: [dimension, digits of the cut so far, size left of the goal]
+        for n in todo:
+            if (r := ranges.get(n.first)) is not None:
+                state[n.first] = [max(dims, key=lambda d: (wide(r, d) / spans[d], -dims.index(d))), 0, r["w"] * (n.shards // 2) / n.shards]
+        limit = slack * total / sum(n.shards for n in todo)
+        cuts: dict[int, int] = {}
         for digit in range(DIGITS):
-            left = [f for f in search if f not in found]
+            left = [(f, dims.index(x[0]) + 1, x[1], float(x[2])) for f, x in state.items() if f not in cuts]
             if not left:
                 break
             shift = DIGIT * (DIGITS - 1 - digit)
-            key = F.coalesce(*[F.when(F.col("node") == f, F.col(search[f][0])) for f in left])
-            prefix = F.coalesce(*[F.when(F.col("node") == f, F.lit(search[f][1])) for f in left])
-            hist = at.where(F.col("node").isin(left)).withColumn("key", key).withColumn("prefix", prefix).where(F.shiftright("key", shift + DIGIT) == F.col("prefix")).groupBy("node", F.shiftright("key", shift).alias("digit")).agg(F.sum("size").alias("w"))
-            goal = F.coalesce(*[F.when(F.col("node") == f, F.lit(float(search[f][2]))) for f in left])
-            upto = hist.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("digit"))).withColumn("goal", goal)
+            keyed = _known(at, left, "dim int, prefix long, goal double").withColumn("key", _key(dims)).where(F.shiftright("key", shift + DIGIT) == F.col("prefix"))
+            hist = keyed.groupBy("node", F.shiftright("key", shift).alias("digit")).agg(F.sum("size").alias("w"), F.first("goal").alias("goal"))
+            upto = hist.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("digit")))
             for r in upto.where("upto >= goal").groupBy("node").agg(F.min_by(F.struct("digit", "w", "upto"), "digit").alias("m")).collect():
                 f, m = r["node"], r["m"]
-                state, below = search[f], m["upto"] - m["w"]
-                if m["w"] <= slack or digit == DIGITS - 1:
-                    after = state[2] - below > m["upto"] - state[2]
-                    found[f] = (m["digit"] + after) << shift
-                state[1], state[2] = m["digit"], state[2] - below
-        for node in todo:
-            half = node.shards // 2
-            node.cut = search[node.first][0], found[node.first]
-            node.kids = [Node(node.first, half), Node(node.first + half, node.shards - half)]
-    return root
+                below, goal = m["upto"] - m["w"], state[f][2]
+                if m["w"] <= limit or digit == DIGITS - 1:
+                    cuts[f] = (m["digit"] + (goal - below > m["upto"] - goal)) << shift
+                state[f][1:] = m["digit"], goal - below
+        for n in todo:
+            half = n.shards // 2
+            # a node without rows can be cut anywhere
+            n.cut = (state[n.first][0], cuts[n.first]) if n.first in cuts else (dims[0], 2**60)
+            n.kids = [Node(n.first, half), Node(n.first + half, n.shards - half)]
+        levels.append(todo)
+        todo = [k for n in todo for k in n.kids if k.shards > 1]
+    return levels
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot) for every row of docs; law is `bytes`.
 
     size is the text's UTF-8 bytes and overhead; null text has no bytes, and the CRC of none. Either the number of
-    shards or the bytes that a shard should have is given. Dimensions are the text's bytes (log scale), its language and
-    a hash of its content; each dimension's ties are ordered by content, then by row, so equal texts with an equal
-    language share a shard unless their group is heavier than a cut's slack. Rows with null ids or languages and
-    repeated rows are placed like others. An empty table gives an empty result. slot numbers a shard's rows from 0
-    without gaps.
+    shards or the bytes that a shard should have is given. Dimensions are the text's bytes (log scale), its language (by
+    falling frequency, nulls a language) and its bytes per character. Each dimension's ties are ordered by content, then
+    by id and row, so equal texts with an equal language share a shard unless their group is heavier than a cut's slack,
+    and repeated rows, of null ids too, can be parted like others. Sources aren't a dimension, as they part equal texts.
+    An empty table gives an empty result. slot numbers a shard's rows from 0 without gaps.
     """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    group, row = F.xxhash64(text), F.xxhash64(F.col(id_col), F.lit("row"))
-    log = F.least(F.log2(size + 1) * F.lit(2**14), F.lit(2**20 - 1)).cast("long")
-    points = docs.select(
-        F.col(id_col).alias("doc_id"), (size + overhead).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group.alias("g"), row.alias("r"),
-        log.alias("bytes"), F.pmod(F.xxhash64(F.col(lang_col)), F.lit(2**20)).alias("lang"), F.pmod(F.shiftright(group, 20), F.lit(2**20)).alias("content"),
+    log = lambda x, scale: F.greatest(F.least(F.log2(x) * F.lit(scale), F.lit(2.0**20 - 1)), F.lit(0.0)).cast("long")
+    dense = log(F.when(F.char_length(text) > 0, size / F.char_length(text)).otherwise(1.0), 2.0**18)
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), (size + overhead).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"),
+        F.monotonically_increasing_id().alias("row"), log(size + 1, 2.0**14).alias("b"), F.col(lang_col).alias("l"), dense.alias("d"),
     )
-    dims = ["bytes", "lang", "content"]
-    points = stored(points.select("doc_id", "size", "text_crc32", *[key_of(F.col(d), F.col("g"), F.col("r")).alias(d) for d in dims]), "shard-points")
+    rows = stored(rows, "shard-rows")
+    langs = rows.groupBy(F.col("l").alias("of")).agg(F.count("*").alias("n"))
+    rank = F.least(F.row_number().over(Window.orderBy(F.desc("n"), F.col("of").asc_nulls_last())) - 1, F.lit(2**20 - 1))
+    langs = stored(langs.select("of", rank.alias("rank")).coalesce(1), "shard-langs")
+    tie = F.xxhash64("doc_id", "row")
+    points = rows.join(langs, F.col("l").eqNullSafe(F.col("of")), "left")
+    points = points.select("doc_id", "size", "text_crc32", "row", *[key_of(F.col(v), F.col("g"), tie).alias(d) for d, v in zip(DIMS, ("b", "rank", "d"))])
+    points = stored(points, "shard-points")
+    totals = points.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
     if shards is None:
-        total = points.agg(F.sum("size")).first()[0] or 0
-        shards = max(1, -(-total // target_bytes))
-    placed = points.select("doc_id", "size", "text_crc32", _leaf(build(points, dims, shards)).alias("shard"), F.pmod(F.col("content"), F.lit(2**20)).alias("tie"))
-    return slots(placed).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
+        shards = max(1, -(-(totals["size"] or 0) // target_bytes))
+    levels = build(points, shards) if totals["n"] else []
+    placed = _descended(points.select("doc_id", "size", "text_crc32", "row", *DIMS), levels, DIMS).withColumnRenamed("node", "shard")
+    return slots(placed, max(1, totals["n"] // (shards * NUMBERED))).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
 
 
-def slots(placed: DataFrame) -> DataFrame:
-    """placed with slot: a row's place in its shard, from 0. Rows are numbered within hash buckets of a shard, each
-    after the rows of the buckets before it, so that no task holds a whole shard."""
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(BUCKETS)))
+def slots(placed: DataFrame, buckets: int) -> DataFrame:
+    """placed (shard, doc_id, row, ...) with slot: a row's place in its shard, from 0. Rows are numbered within hash
+    buckets of a shard, each after the rows of the buckets before it, so that no task holds a whole shard."""
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "tie")))
+    numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "row")))
     joined = numbered.join(starts, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
     return joined.withColumn("slot", (F.col("start") + F.col("at") - 1).cast("long"))
