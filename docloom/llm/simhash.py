@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import jaccard
 from docloom.llm.common import arrow_map, stored
 from docloom.llm.components import component_roots
 
@@ -29,12 +30,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: -shingle] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(BITS, np.int64), len(starts)
     stops = ends[shingle - 1 :].tolist()
+    return majority(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops)), np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64 bits that are set in over half of the hashes; 0 of none."""
+    counts, n, hashes = np.zeros(BITS, np.int64), len(hashes), hashes.view(np.uint64)
     for at in range(0, n, 1 << 16):
-        part = slice(at, at + (1 << 16))
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[part], stops[part])], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(counts * 2 > n, bitorder="little")
     return int(bits.view(np.int64)[0])
 
@@ -216,3 +221,16 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(classes.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-classes")
     return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, least: float = jaccard.LEAST, shingle: int = jaccard.SHINGLE, distance: int = 3, key_col: str = "key", text_col: str = "text") -> DataFrame:
+    """(key, root) for every row of docs, whose keys are distinct longs: texts whose runs of `shingle` words have a Jaccard
+    similarity of `least` or more are linked, and root is one key of all that links lead to.
+
+    Fingerprints of those runs that meet at an anchor within `distance` bits are the first candidates. At 0.8 most alike
+    pairs differ in more bits than a covering code can serve, so fingerprints also meet at the rarest runs of their texts
+    and are compared there within jaccard.WIDE bits; jaccard.groups() says how. Each pair is then compared exactly. Null
+    and empty texts are alike; repeated texts are compared once; an empty table gives an empty result.
+    """
+    near = lambda marks: links(marks.withColumnRenamed("mark", "fp"), distance)
+    return jaccard.groups(docs, majority, near, least, shingle, key_col=key_col, text_col=text_col)

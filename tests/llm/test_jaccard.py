@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as cp
-from docloom.llm import jaccard
+from docloom.llm import jaccard, simhash
 
 
 def edited(rng, words, n):
@@ -56,7 +56,7 @@ def test_groups_against_all_pairs(spark, monkeypatch):
     want = brute(texts)
     for frequent in (jaccard.FREQUENT, 0):
         monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-        found = {r.key: r.root for r in jaccard.groups(docs).collect()}
+        found = {r.key: r.root for r in simhash.near_copies(docs).collect()}
         assert same_groups([found[i] for i in range(len(texts))], want)
     assert 40 < len(set(want)) < len(want)
 
