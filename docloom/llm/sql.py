@@ -34,13 +34,13 @@ FROM rated r LEFT JOIN draws d ON r.source IS NOT DISTINCT FROM d.source AND r.s
 
 OP9 = """
 WITH sound AS (
-  SELECT DISTINCT vec_id::BIGINT AS id, [floor(1024.0::DOUBLE * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id::BIGINT AS id, [floor(1024.0::DOUBLE * x::DOUBLE) for x in embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
-  SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM sound q JOIN sound c ON c.id <> q.id WHERE q.id % 100 = 0
+  SELECT q.row AS query, q.id AS query_id, c.row AS row, c.id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM sound q JOIN sound c ON c.row <> q.row WHERE q.id % 100 = 0
 ), ranked AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+  SELECT query_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id, row)::INT AS rank, vec_id, score FROM scored
 )
 SELECT * FROM ranked WHERE rank <= 10
 """
