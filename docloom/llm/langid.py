@@ -8,13 +8,12 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docloom.llm.common import arrow_append, arrow_map, sample_below
+from docloom.llm.common import arrow_append, arrow_map, stored
 
 _WORD = regex.compile(r"\p{L}+")
 LONGEST, UNKNOWN = 5, "und"
-_KEPT = 1 << 18
+_KEPT = 1 << 20  # numbers kept for unseen words
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -27,83 +26,108 @@ class Model:
 
     A known word scores by its log frequency in each language. An unseen word scores by the mean of its known n-grams
     of the greatest length at which any is known, LONGEST first, less a constant per step down. Evidence of a text is
-    the mean over its words.
+    the mean over its words. A gram holds only the languages that it occurs in; `base` has the log frequency of an
+    unseen gram of each length in each language.
     """
 
     def __init__(self, langs: list[str], entries: list[tuple[int, str, str, int]]):
         """entries: (n, gram, language, count); n is 0 for words."""
         self.langs, at = langs, {x: i for i, x in enumerate(langs)}
-        self.grams: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # to rows of table
-        ranks, columns, counts, sizes = [], [], [], []
-        for n, gram, lang, count in entries:
-            if gram not in self.grams[n]:
-                self.grams[n][gram] = len(sizes)
-                sizes.append(n)
-            ranks.append(self.grams[n][gram])
-            columns.append(at[lang])
-            counts.append(count)
-        self.table = np.zeros((len(sizes), len(langs)))
-        np.add.at(self.table, (ranks, columns), counts)
-        sizes = np.array(sizes, int)
-        for n in range(LONGEST + 1):
-            own = sizes == n
-            self.table[own] = np.log((self.table[own] + 0.5) / (self.table[own].sum(axis=0) + 1.5))
-        self.table -= self.table.max(axis=1, keepdims=True) if len(sizes) and langs else 0
+        self.grams: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # to rows
+        cells = sorted((n, gram, at[lang], count) for n, gram, lang, count in entries)
+        ns, rows = np.array([c[0] for c in cells], int), []
+        for n, gram, _, _ in cells:
+            rows.append(self.grams[n].setdefault(gram, len(self.grams[n]) + sum(len(g) for g in self.grams[:n])))
+        self.lang, counts = np.array([c[2] for c in cells], np.int32), np.array([c[3] for c in cells], float)
+        sizes = np.array([n for n in range(LONGEST + 1) for _ in self.grams[n]], int)
+        self.starts = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(sizes)))].astype(np.int64) if rows else np.zeros(1, np.int64)
+        totals = np.zeros((LONGEST + 1, len(langs)))
+        np.add.at(totals, (ns, self.lang), counts)
+        totals += 0.5 * np.bincount(sizes, minlength=LONGEST + 1)[:, None]
+        self.base = np.log(0.5 / (totals + 1.5))
+        # what a count adds to the base, and each row's greatest value, by which it is lowered
+        self.more = np.log(counts + 0.5) - np.log(0.5)
+        self.top = np.empty(len(sizes))
+        for i, n in enumerate(sizes.tolist()):
+            self.top[i] = self._row(i, n).max()
         self._reset()
 
+    def _row(self, i: int, n: int) -> np.ndarray:
+        row = self.base[n].copy()
+        part = slice(self.starts[i], self.starts[i + 1])
+        row[self.lang[part]] += self.more[part]
+        return row
+
     def _reset(self) -> None:
         """Forgets the rows of unseen words."""
-        self.places = dict(self.grams[0])
-        self.known = len(self.table)
-        self.used = self.known
-        self.rows = np.vstack([self.table, np.zeros((1024, len(self.langs)))])
+        self.unseen: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.langs)))
 
     def backoff(self, word: str) -> np.ndarray:
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             get = self.grams[n].get
             found = [i for g in grams(word, n) if (i := get(g)) is not None]
             if found:
-                row = self.table[found].sum(axis=0) / len(found)
+                row = self.summed(np.array(found), n) / len(found)
                 return (row - row.max()) * 0.8 ** (LONGEST + 1 - n)
         return np.zeros(len(self.langs))
 
+    def summed(self, found: np.ndarray, n: int) -> np.ndarray:
+        """The sum of the rows of some grams of one length, each lowered by its greatest value."""
+        lo = self.starts[found]
+        count = self.starts[found + 1] - lo
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1]) + np.repeat(lo - ends + count, count)
+        return self.base[n] * len(found) + np.bincount(self.lang[at], weights=self.more[at], minlength=len(self.langs)) - self.top[found].sum()
+
     def __getstate__(self):
-        return self.langs, self.grams, self.table
+        return {k: v for k, v in self.__dict__.items() if k not in ("unseen", "rows")}
 
     def __setstate__(self, state):
-        self.langs, self.grams, self.table = state
+        self.__dict__.update(state)
         self._reset()
 
     def place(self, word: str) -> int:
-        at = self.used
+        at = self.unseen[word] = len(self.unseen)
         if at == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows[: max(1024, at // 2)])])
-        self.rows[at], self.places[word] = self.backoff(word), at
-        self.used += 1
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = self.backoff(word)
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        if self.used > _KEPT + self.known:
+        if len(self.unseen) > _KEPT // len(self.langs):
             self._reset()
-        get, place = self.places.get, self.place
-        idx = [i if (i := get(w)) is not None else place(w) for w in words]
-        mean = self.rows[idx].sum(axis=0) / len(idx)
-        odds = np.exp((mean - mean.max()) * min(len(idx), 25))
+        known, get, place = self.grams[0].get, self.unseen.get, self.place
+        old, new = [], []
+        for w in words:
+            if (i := known(w)) is not None:
+                old.append(i)
+            else:
+                new.append(i if (i := get(w)) is not None else place(w))
+        total = self.summed(np.array(old), 0) if old else np.zeros(len(self.langs))
+        if new:
+            total = total + self.rows[new].sum(axis=0)
+        mean = total / len(words)
+        odds = np.exp((mean - mean.max()) * min(len(words), 25))
         best = int(mean.argmax())
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def train(labelled: DataFrame, fit_docs: int = 6000, per_lang: int = 20000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", entries: int = 400_000) -> Model:
-    """A model from labelled rows (text and lang not null; others are left out).
+def train(labelled: DataFrame, fit_docs: int = 6000, least: int = 2, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+    """A model from labelled rows (text and lang not null; others are left out). Every language among them is learned.
 
-    It is fitted on a bounded sample: about fit_docs rows with their whole texts, picked by a hash of the id. Per language and n the per_lang most frequent grams are kept, fewer if there are so many
-    languages that more than `entries` would reach the driver. Ties are broken by the gram.
+    It is fitted on a bounded sample: of each language about fit_docs over the number of languages rows (all, if it has
+    fewer, and at least about 20), picked by a hash of the id and the text, with their whole texts. Words and n-grams
+    that occur `least` times in the sample are known. The model's size is bounded by the sample's text.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = sample_below(rows, id_col, fit_docs, rows.count()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())
+    quota = max(20, fit_docs // max(1, len(langs)))
+    rows = rows.join(counts, "lang").where(F.pmod(F.xxhash64("id", "text", F.lit("fit")), F.lit(2**31)) < F.lit(float(quota)) / F.col("n") * F.lit(2.0**31)).select("lang", "text")
 
     def counted(batches):
         import pyarrow as pa
@@ -125,12 +149,8 @@ def train(labelled: DataFrame, fit_docs: int = 6000, per_lang: int = 20000, text
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(part), "n": pa.array([k[0] for k in part], pa.int32()), "gram": [k[1] for k in part], "c": pa.array([found[k] for k in part], pa.int64())})
 
     summed = rows.mapInArrow(counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(1001).collect())
-    if len(langs) > 1000:
-        raise ValueError("more than 1000 languages among the labels")
-    most = max(50, min(per_lang, entries // max(1, len(langs) * (LONGEST + 1))))
-    top = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))).where(F.col("r") <= most)
-    return Model(langs, [(r.n, r.gram, r.lang, r.c) for r in top.select("n", "gram", "lang", "c").collect()])
+    known = summed.where(F.col("c") >= least).select("n", "gram", "lang", "c").toArrow()
+    return Model(langs, list(zip(*(known.column(i).to_pylist() for i in range(4)))))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,9 +170,9 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return arrow_map(df.select(F.col(id_col), F.col(text_col)), rows, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-
 def identify_rows(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df, every column kept, with lang_pred and lang_score as in identify() (new names, else the call fails)."""
+    """df, every column kept, with lang_pred and lang_score as in identify(); columns of these names are replaced."""
+    df = df.drop("lang_pred", "lang_score")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def values(texts):

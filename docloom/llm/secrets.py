@@ -18,8 +18,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "part_id", "part_secret", "part_endpoint")
 
 # Parts too weak to report alone.
-PART_ID = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[A-Z])(?=[A-Z0-9]*[0-9])[A-Z0-9]{16,32}(?![A-Za-z0-9])")
-PART_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
+PART_ID = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[A-Z])(?=[A-Z0-9]*[0-9])[A-Z0-9]{16,}(?![A-Za-z0-9])")
+PART_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
 PART_ENDPOINT = re.compile(r"(?a:\b(?:https?|s3|ftp|jdbc:[a-z]+|mongodb|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b)")
 
 _KEYWORD = re.compile(r"(?ai:password|passwd|secret|token|api_?key)")
@@ -107,7 +107,9 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def redact_rows(df: DataFrame, text_col: str = "text", scope: int = 240, mask: str = "[SECRET]") -> DataFrame:
-    """df, every column kept, its text with all spans of find_secrets() masked, and changed: whether it had any."""
+    """df, every column kept, its text with all spans of find_secrets() masked, and changed: whether it had any (a
+    column of that name is replaced; other names may clash with none). Null and empty texts stay, as do null ids and
+    repeated rows; whole texts are read, however long; an empty table gives an empty result."""
 
     def values(texts):
         out = []
@@ -117,8 +119,12 @@ def redact_rows(df: DataFrame, text_col: str = "text", scope: int = 240, mask: s
             out.append((masked(text, spans, mask) if spans else text, bool(spans)))
         return [[t for t, _ in out], [c for _, c in out]]
 
-    found = arrow_append(df, text_col, values, "masked_text string, changed boolean")
-    return found.withColumn(text_col, F.col("masked_text")).drop("masked_text")
+    names = [c for c in df.columns if c != "changed"]
+    fresh = "masked_text"
+    while fresh in names:
+        fresh += "_"
+    found = arrow_append(df.drop("changed"), text_col, values, f"`{fresh}` string, changed boolean")
+    return found.select(*[F.col(f"`{fresh}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], "changed")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
