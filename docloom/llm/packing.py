@@ -13,7 +13,7 @@ from docloom.llm.tokens import encoder
 
 ITEMS = 8192  # pieces of a block, about
 ISLANDS, EPOCHS = 2, 2
-POPULATION, GENERATIONS = 4, 3
+POPULATION, GENERATIONS = 8, 6  # of an island and an epoch, where best fit misses the bound
 
 
 def cut_pieces(n: int, most: int) -> list[tuple[int, int]]:
@@ -89,11 +89,35 @@ def fresh(lengths: np.ndarray, most: int, rng: np.random.Generator, noise: float
     return Solution(assign, np.array(best_fit(lengths, order, assign, [], most)))
 
 
+def exchanged(loose: np.ndarray, assign: np.ndarray, fills: list[int], lengths: np.ndarray, most: int) -> np.ndarray:
+    """Puts each loose item, longest first, in place of the shorter item whose bin it then fills best, if there is one;
+    returns the items that are loose then. Bins only get fuller, and what stays loose is shorter. assign and fills are written."""
+    assign[loose] = -1
+    if not fills:
+        return loose
+    room, out = most - np.array(fills, np.int64), []
+    for item in loose[np.argsort(-lengths[loose], kind="stable")].tolist():
+        gain = lengths[item] - lengths
+        left = np.where((assign >= 0) & (gain > 0), room[assign] - gain, -1)
+        left = np.where(left >= 0, left, most + 1)
+        at = int(left.argmin())
+        if left[at] > most:
+            out.append(item)
+            continue
+        b = int(assign[at])
+        assign[item], assign[at] = b, -1
+        fills[b] += int(gain[at])
+        room[b] -= gain[at]
+        out.append(at)
+    return np.array(out, np.int64)
+
+
 def crossover(giver: Solution, taker: Solution, lengths: np.ndarray, most: int, rng: np.random.Generator) -> Solution:
-    """Injects half of the giver's well-filled bins into the taker: bins of the taker that share an item with them are
-    dissolved, and what they held besides is placed by best fit, longest first."""
+    """Injects about half of the giver's well-filled bins into the taker, the fuller the likelier: bins of the taker that
+    share an item with them are dissolved, and what they held besides is placed anew."""
     good = giver.fills >= max(np.median(giver.fills), 0.98 * most)
-    picked = good & (rng.random(len(good)) < 0.5)
+    slack = (most - giver.fills) / max(1, most - int(giver.fills.min()))
+    picked = good & (rng.random(len(good)) < 0.7 - 0.4 * slack)
     injected = picked[giver.assign]
     dissolved = np.zeros(len(taker.fills), bool)
     dissolved[taker.assign[injected]] = True
@@ -108,15 +132,16 @@ def crossover(giver: Solution, taker: Solution, lengths: np.ndarray, most: int,
 
 
 def mutated(one: Solution, lengths: np.ndarray, most: int, rng: np.random.Generator) -> Solution:
-    """Dissolves the emptiest bins and a few others and places their items anew."""
+    """Dissolves the emptiest bins and a few others; their items are exchanged for shorter ones, and what is loose then
+    is placed by best fit, longest first."""
     n = len(one.fills)
     gone = np.zeros(n, bool)
-    gone[np.argsort(one.fills)[: max(2, n // 50)]] = True
-    gone[rng.random(n) < 0.02] = True
-    loose = np.flatnonzero(gone[one.assign])
+    gone[np.argsort(one.fills)[: max(2, n // 100)]] = True
+    gone[rng.random(n) < max(0.01, min(0.1, 2 / n))] = True
     number = np.cumsum(~gone) - 1
     assign, fills = number[one.assign], one.fills[~gone].tolist()
-    best_fit(lengths, loose[np.argsort(-lengths[loose] * (1 + 0.1 * rng.random(len(loose))))], assign, fills, most)
+    loose = exchanged(np.flatnonzero(gone[one.assign]), assign, fills, lengths, most)
+    best_fit(lengths, loose[np.argsort(-lengths[loose], kind="stable")], assign, fills, most)
     return Solution(assign, np.array(fills))
 
 
@@ -147,7 +172,8 @@ def evolve(lengths: np.ndarray, most: int, seed: int, elites: list[Solution], po
 
 
 def _packed(items: DataFrame, most: int, blocks: int, seed: int) -> DataFrame:
-    """(uid, block, bin, offset, fill) for every row of items (uid, length), packed within hash blocks.
+    """(uid, block, bin, offset, weak) for every row of items (uid, length), packed within hash blocks; weak marks a
+    block's least full bin and those that are at most half full.
 
     Each block is solved on ISLANDS islands. After each epoch an island's best solution goes on to its next epoch and,
     as migrant, to the island beside it; at last the block's best one is taken. All groups have about ITEMS rows.
@@ -178,7 +204,8 @@ def _packed(items: DataFrame, most: int, blocks: int, seed: int) -> DataFrame:
         bins = best.assign[order]
         starts = np.r_[0, np.flatnonzero(np.diff(bins)) + 1]
         before = np.repeat(ends[starts] - lengths[order][starts], np.diff(np.r_[starts, len(bins)]))
-        return pd.DataFrame({"uid": uids[order], "block": block, "bin": bins, "offset": ends - lengths[order] - before, "fill": best.fills[bins]})
+        weak = (best.fills * 2 <= most) | (np.arange(len(best.fills)) == best.fills.argmin())
+        return pd.DataFrame({"uid": uids[order], "block": block, "bin": bins, "offset": ends - lengths[order] - before, "weak": weak[bins]})
 
     schema = "block long, island int, origin int, epoch int, uid long, length long, bin long"
     block = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(blocks)).alias("block")
@@ -187,7 +214,7 @@ def _packed(items: DataFrame, most: int, blocks: int, seed: int) -> DataFrame:
         rows = rows.groupBy("block", "island").applyInPandas(epoch, schema)
         if n + 1 < EPOCHS:
             rows = rows.withColumn("island", F.explode(F.array("island", (F.col("island") + 1) % ISLANDS)))
-    return rows.groupBy("block").applyInPandas(last, "uid long, block long, bin long, offset long, fill long")
+    return rows.groupBy("block").applyInPandas(last, "uid long, block long, bin long, offset long, weak boolean")
 
 
 def pack(docs: DataFrame, tokenizer: tuple, most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,8 +222,9 @@ def pack(docs: DataFrame, tokenizer: tuple, most: int = 2048, end_id: int = 0, i
 
     A row's ids end with end_id and are cut into pieces of `most` ids only if they are more, a shorter piece first.
     Null text has end_id alone. Null ids and repeated rows are packed each for itself. An empty table gives an empty
-    result. Whole pieces fill a sequence each. The others are packed in blocks of about ITEMS; then what stands in
-    sequences that are at most half full is packed once more, in fewer blocks, so that not every block leaves a rest.
+    result. Whole pieces fill a sequence each. The others are packed in blocks of about ITEMS; if there are several, what
+    stands in sequences that are at most half full, or in a block's least full one, is packed once more, in fewer blocks,
+    so that not every block leaves a rest.
     """
     cut = stored(pieces(docs, tokenizer, most, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     items = cut.where(F.col("length") < most).select("uid", "length")
@@ -205,14 +233,11 @@ def pack(docs: DataFrame, tokenizer: tuple, most: int = 2048, end_id: int = 0, i
     if not n:
         return cut.join(whole, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     number = lambda turn: (F.lit(1).cast("long") * (1 << 62) + F.col("block") * F.lit(1 << 20) + F.col("bin") * 2 + turn)
-    first = stored(_packed(items, most, -(-n // ITEMS), 1), "packed")
-    placed = whole
-    rest = first.where(F.col("fill") * 2 <= most)
-    left = rest.count()
-    if left and n > ITEMS:
-        placed = placed.unionByName(first.where(F.col("fill") * 2 > most).select("uid", number(0).alias("sequence_id"), "offset"))
-        again = stored(_packed(items.join(rest.select("uid"), "uid", "left_semi"), most, -(-left // ITEMS), 2), "packed")
+    blocks = -(-n // ITEMS)
+    first = stored(_packed(items, most, blocks, 1), "packed")
+    placed = whole.unionByName(first.where(F.lit(blocks == 1) | ~F.col("weak")).select("uid", number(0).alias("sequence_id"), "offset"))
+    if blocks > 1:
+        rest = first.where("weak").select("uid")
+        again = stored(_packed(items.join(rest, "uid", "left_semi"), most, -(-rest.count() // ITEMS), 2), "packed")
         placed = placed.unionByName(again.select("uid", number(1).alias("sequence_id"), "offset"))
-    else:
-        placed = placed.unionByName(first.select("uid", number(0).alias("sequence_id"), "offset"))
     return cut.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

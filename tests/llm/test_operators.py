@@ -216,21 +216,54 @@ def test_sharding_is_even_whole_and_gapless(spark, docs, empty):
     assert len(copies) == 4 and all(90 <= r["count"] <= 110 for r in copies)
 
 
+def words_of(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
 def test_mixing_hits_targets(spark, docs, empty):
     rows = mixing.copy_counts(docs).collect()
     assert len(rows) == docs.count()
-    taken, target = {}, {}
+    taken, target, longest = {}, {}, {}
     for r in rows:
         assert 0 <= r.copies <= 2
         taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
-        target[r.source] = (r.target, r.source_size)
-    sizes = {s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", d.text or "")) for d in docs.collect() if d.source == s) for s in target}
+        target[r.source], longest[r.source] = (r.target, r.source_size), max(longest.get(r.source, 0), r.size)
+    sizes = {s: sum(words_of(d.text) for d in docs.collect() if d.source == s) for s in target}
     assert sizes == {s: z for s, (_, z) in target.items()}
+    # all documents here are long ones, drawn at even spaces by size: a source misses by its longest document at most
+    for s, (goal, _) in target.items():
+        assert abs(taken[s] - goal) <= longest[s] + 1
     assert mixing.mix(docs).columns == docs.columns
     assert mixing.mix(docs).count() == sum(r.copies for r in rows)
     assert mixing.copy_counts(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_many_short_documents(spark):
+    rows = [(i, "w " * (1 + i % 7), None, "ab"[i % 2]) for i in range(30_000)] + [(5, "w w w", None, "a")] * 50
+    found = mixing.copy_counts(table(spark, rows)).groupBy("source").agg({"target": "max"}).collect()
+    taken = {r.source: r.n for r in mixing.mix(table(spark, rows)).selectExpr("source", "size(split(trim(text), ' ')) AS n").groupBy("source").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    for r in found:
+        assert taken[r.source] == pytest.approx(r["max(target)"], rel=0.03)
+
+
+def test_a_dominating_document_is_drawn_with_its_fraction(spark):
+    rows = [(0, "w " * 20_000, None, "a")] + [(i, "w " * 200, None, "a") for i in range(1, 61)]
+    sizes = spark.createDataFrame([(i, s, len(t.split())) for i, t, _, s in rows], "doc_id long, source string, size long").cache()
+    hits, others = 0, 0
+    seeds = 60
+    drawn = None
+    for n in range(seeds):
+        one = sizes.withColumn("u", mixing.drawn(f"s{n}"))
+        rated = one.select("source").distinct().selectExpr("source", "32000L AS source_size", "9600.0D AS target", "0.3D AS rate")
+        found = mixing._with_copies(one, rated, mixing.spaced_draws(one, rated, f"s{n}")).selectExpr("doc_id", "copies", f"{n} AS seed")
+        drawn = found if drawn is None or n % 10 == 0 else drawn.unionByName(found)
+        if n % 10 == 9:
+            for r in drawn.collect():
+                hits, others = hits + r.copies * (r.doc_id == 0), others + r.copies * (r.doc_id > 0)
+    assert abs(hits / seeds - 0.3) < 3 * (0.21 / seeds) ** 0.5
+    assert others / seeds / 60 == pytest.approx(0.3, abs=0.02)
+
+
 @pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 30, 5, 700, 700, 1], [0, 5, 0], [50]])
 def test_targets_against_rounds_of_resharing(spark, sizes):
     names = [f"s{i:02}" for i in range(len(sizes))]
@@ -266,71 +299,136 @@ def test_language_backs_off_and_rejects(spark, docs, empty):
     assert kept.count() == docs.count() and set(docs.columns) < set(kept.columns)
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 32)
     rng = np.random.default_rng(4)
     idf = rng.random(40) + 0.1
-    examples = [(sorted(rng.choice(40, rng.integers(1, 6), replace=False).tolist()), None) for _ in range(700)]
-    examples = [(ids, rng.integers(1, 5, len(ids)).tolist()) for ids, _ in examples]
-    index = toxicity.BlockMaxIndex(40, idf, examples)
+    lists = [sorted(rng.choice(40, rng.integers(1, 6), replace=False).tolist()) for _ in range(700)]
+    counts = [rng.integers(1, 5, len(x)).tolist() for x in lists]
+    index = toxicity.BlockMaxIndex(idf, np.r_[0, np.cumsum([len(x) for x in lists])], np.concatenate(lists), np.concatenate(counts))
     dense = np.zeros((700, 40))
-    for row, (ids, w) in zip(dense, index.vectors):
-        row[ids] = w
+    for row, ids, tf in zip(dense, lists, counts):
+        row[ids] = (1 + np.log(tf)) * idf[ids]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     for at in range(0, 700, 35):
-        ids, w = index.vectors[at]
-        q = np.zeros(40)
-        q[ids] = w
-        cosine = dense @ q
-        want = sorted(((c, i) for i, c in enumerate(cosine) if c > 0), key=lambda x: (-round(x[0], 10), x[1]))[:9]
-        got = index.top(ids, w, 9)
-        assert [round(c, 9) for c, _ in got] == [round(c, 9) for c, _ in want]
+        ids = np.array(lists[at])
+        weights = index.unit(ids, np.array(counts[at]))
+        cosine = np.round(dense @ dense[at], 9)
+        cosine[at] = 0
+        want = sorted((-c, i) for i, c in enumerate(cosine) if c > 0)[:9]
+        got = index.top(ids, weights, 9, but=np.array([at]))
+        assert [c for c, _ in got] == pytest.approx([-c for c, _ in want], abs=1e-8)
+    assert index.top(np.empty(0, np.int64), np.empty(0), 9) == []
 
 
-def test_toxicity_learns_and_leaves_plain_texts(spark, empty):
+def toxic_table(n=400):
     rng = random.Random(8)
     rows, marks = [], []
-    for i in range(400):
-        words = [rng.choice("the of and house tree river stone light".split()) for _ in range(40)]
+    for i in range(n):
+        words = [rng.choice("the of and house tree river stone light".split()) for _ in range(40)] + [f"w{rng.randrange(300)}x"]
         bad = i % 4 == 0
         if bad:
             words[rng.randrange(40)] = rng.choice(["nasty", "vile"])
         rows.append((i, " ".join(words), "en", "a"))
         marks.append((i, int(bad)))
-    marks += [(1, None), (None, 1), (5000, 1)]
-    docs, labels = table(spark, rows + EDGES), spark.createDataFrame(marks, "doc_id long, toxic int")
+    return rows, marks
+
+
+def test_toxicity_learns_and_leaves_plain_texts(spark, empty):
+    rows, marks = toxic_table()
+    more = marks + [(1, None), (None, 1), (5000, 1)]
+    docs, labels = table(spark, rows + EDGES), spark.createDataFrame(more, "doc_id long, toxic int")
     model = toxicity.train(docs, labels.where("doc_id % 5 <> 0"))
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
-    for i, bad in marks[:400]:
+    for i, bad in marks:
         assert (got[i].score >= 0.5) == bool(bad)
-    assert all(0 <= r.score <= 1 for r in got.values()) and got[900].score < 0.2
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[900].score < 0.4 and got[901].score == got[900].score
     assert got[0].evidence_ids and set(got[0].evidence_terms) & {"nasty", "vile"}
     bare = toxicity.train(empty, labels)
     assert toxicity.score(docs, bare).count() == len(rows) + len(EDGES) and toxicity.score(empty, bare).count() == 0
+    named = [(f"id{i}", t, 1) for i, t, _, _ in rows[:40]] + [("id0", rows[0][1], 1)] * 3
+    by_name = toxicity.train(spark.createDataFrame(named, "doc_id string, text string, extra int"), spark.createDataFrame([(f"id{i}", y) for i, y in marks], "doc_id string, toxic int"))
+    assert toxicity.score(spark.createDataFrame(named, "doc_id string, text string, extra int"), by_name).first().evidence_ids[0].startswith("id")
+
+
+def test_toxicity_scores_against_plain_cosines(spark):
+    rows, marks = toxic_table(300)
+    model = toxicity.train(table(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    label = dict(marks)
+    found = {i: re.findall(r"[^\W\d_]+", t.lower()) for i, t, _, _ in rows}
+    bags = {i: {w: ws.count(w) for w in ws} for i, ws in found.items()}
+    group = {i: toxicity.copy_group(t) for i, t, _, _ in rows}
+    share = {i: 1 / sum(g == group[i] for g in group.values()) for i in group}
+    p, q = (sum(share[i] for i in group if label[i] == y) for y in (1, 0))
+    holders = {w: [i for i in bags if w in bags[i]] for b in bags.values() for w in b}
+    idf = {}
+    for w, own in holders.items():
+        if len(own) > 1:
+            a, b = (sum(share[i] for i in own if label[i] == y) for y in (1, 0))
+            chi = (a / p - b / q) ** 2 / ((a + b) / (p + q) * (1 / p + 1 / q) * max(1 - (a + b) / (p + q), 1e-9))
+            idf[w] = np.log(1 + (p + q) / (a + b)) * max((chi / (p + q)) ** 0.5, toxicity.LEAST_TELLING)
+    vectors_ = {}
+    for i, b in bags.items():
+        v = {w: (1 + np.log(c)) * idf[w] for w, c in b.items() if w in idf}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        vectors_[i] = {w: x / norm for w, x in v.items()}
+    places = {i: n for n, i in enumerate(model.ids)}
+    for i in range(0, 300, 7):
+        cosines = sorted((-round(sum(x * vectors_[j].get(w, 0) for w, x in vectors_[i].items()), 12), places[j], j) for j in bags)[:15]
+        votes = [(share[j] / (1.1 + min(max(c, -1), 0)) ** 2, label[j]) for c, _, j in cosines if c < 0]
+        v = (sum(w * y for w, y in votes) + 0.5 * model.rate) / (sum(w for w, _ in votes) + 0.5)
+        slope, shift = model.calibration
+        assert model.score(rows[i][1])[0] == pytest.approx(1 / (1 + np.exp(-(slope * np.log(v / (1 - v)) + shift))), abs=1e-6)
+
+
+def best_products(good, q, k=10):
+    """[(rank, vec_id, score)] of the query at place q among (vec_id, vector of ints)."""
+    scores = sorted((-sum(int(a) * int(b) for a, b in zip(good[q][1], v)), i, at) for at, (i, v) in enumerate(good) if at != q)
+    return [(n + 1, i, -s) for n, (s, i, _) in enumerate(scores[:k])]
 
 
 def test_vector_search_against_brute_force(spark):
     rng = np.random.default_rng(6)
-    rows = [(i, rng.normal(size=8).astype("float32").tolist()) for i in range(900)]
-    rows += [(1000 + i, rows[3][1]) for i in range(30)] + [(2000, None), (2001, [float("nan")] * 8), (2002, [None] + [0.5] * 7), (None, [0.5] * 8), (3, rows[3][1]), (2003, [float("inf")] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, rng.normal(size=8).astype("float32").tolist(), "x", 7) for i in range(900)]
+    rows += [(1000 + i, rows[3][1], "x", 7) for i in range(30)] + [(200, rows[5][1], "x", 7), (200, rows[200][1], "x", 7), (3, rows[3][1], "x", 7)]
+    odd = [(2000, None), (2001, [float("nan")] * 8), (2002, [None] + [0.5] * 7), (None, [0.5] * 8), (2003, [float("inf")] * 8), (2100, []), (2200, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + [(*o, "x", 7) for o in odd], "vec_id long, embedding array<float>, score string, row int")
     found = vectors.quantised(df, "vec_id", "embedding", 1024)
     got = {}
     for r in vectors.top_k(found, found.where("id % 100 = 0")).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    good = {i: np.floor(1024.0 * np.array(v, "float32").astype(float)).astype(int) for i, v in rows[:930]}
-    for q in [i for i in good if i % 100 == 0]:
-        best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:10]
-        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert len(got) == len([i for i in good if i % 100 == 0])
+    good = [(i, np.floor(1024.0 * np.array(v, "float32").astype(float)).astype(int)) for i, v, _, _ in rows]
+    want = {}
+    for at, (i, _) in enumerate(good):
+        if i % 100 == 0:
+            want.setdefault(i, []).extend(best_products(good, at))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()} and len(want[200]) == 30
     none = found.where("false")
     assert vectors.top_k(none, none).count() == 0
 
 
+def test_vector_search_of_extreme_components(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(0, 8)).tolist()) for i in range(200)]
+    huge = [(300, [1e30, 0.0, 0.0, 0.0]), (400, [-1e30, 1.0, 0.0, 0.0]), (301, [1e29, 1.0, 0.0, 0.0])]
+    for part in (rows, huge + rows[:30]):
+        found = vectors.quantised(spark.createDataFrame(part, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1024)
+        got = {}
+        for r in vectors.top_k(found, found.where("id % 100 = 0"), 5).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        good = [(i, [int(np.floor(1024.0 * x)) for x in v]) for i, v in part]
+        for at, (i, _) in enumerate(good):
+            if i % 100 == 0:
+                clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+                assert sorted(got[i]) == [(n, j, clip(x)) for n, j, x in best_products(good, at, 5)]
+
+
 def test_trees_of_many_leaves_are_exact():
     rng = np.random.default_rng(7)
     data, ids = rng.integers(-50, 50, (3000, 5)).astype(float), np.arange(3000)
     tree = vectors.KDTree(data)
     queries = rng.integers(-50, 50, (20, 5)).astype(float)
-    for q, (scores, found) in zip(queries, tree.search(queries, np.full(20, -1), ids, np.full(20, -np.inf), 10)):
+    for q, (scores, found, _) in zip(queries, tree.search(queries, np.full(20, -1), ids, ids, np.full(20, -np.inf), 10)):
         want = sorted((-(data[i] @ q), i) for i in ids)[:10]
         assert list(zip(-scores, found)) == want
 
