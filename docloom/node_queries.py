@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions import marks
+from docloom.operators import relational as rel
 from docloom.operators import rewrite as rw
 from docloom.plans import documents as doc
 from docloom.queries import _PLACE, _lines, query, table
@@ -32,17 +34,20 @@ def repointed_links(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'decimal' ELSE 'bullet' END AS format, CASE WHEN n_nationkey % 5 = 0 THEN 100 + n_nationkey ELSE p_partkey % 3 + 1 END::INT AS start
-FROM part LEFT JOIN nation ON n_nationkey = p_partkey % 25
+SELECT d.doc_id, p_partkey, CASE (p_partkey + d.doc_id) % 2 WHEN 0 THEN 'decimal' ELSE 'bullet' END AS format,
+  CASE WHEN n_nationkey % 5 = 0 THEN 100 + n_nationkey + d.doc_id ELSE p_partkey % 3 + 1 END::INT AS start
+FROM part CROSS JOIN (SELECT unnest(range(2))::INT AS doc_id) d LEFT JOIN nation ON n_nationkey = p_partkey % 25
 """)
 def numbering_levels(spark, sf_dir):
-    """Paragraphs that look up their numbering, its levels, and overrides of those."""
-    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
-    paragraphs = part.select("p_partkey", (F.col("p_partkey") % 25).cast("int").alias("num"), (F.col("p_partkey") % 6).cast("int").alias("level"))
-    nums = nation.select(F.col("n_nationkey").alias("num"), F.lit(1).alias("abstract"))
-    levels = spark.range(6).select(F.lit(1).alias("abstract"), F.col("id").cast("int").alias("level"), F.when(F.col("id") % 2 == 0, "decimal").otherwise("bullet").alias("format"), (F.col("id") % 3 + 1).cast("int").alias("start"))
-    overrides = nation.where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("num"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("level"), (F.col("n_nationkey") + 100).alias("start"))
-    return rw.numbering_levels(paragraphs, nums, levels, overrides).select("p_partkey", "format", "start")
+    """Paragraphs of two documents that look up their numbering, its levels, and overrides of those, under the same keys."""
+    part, nation, two = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation"), F.explode(F.array(F.lit(0), F.lit(1))).alias("doc_id")
+    paragraphs = part.select(two, "p_partkey", (F.col("p_partkey") % 25).cast("int").alias("num"), (F.col("p_partkey") % 6).cast("int").alias("level"))
+    nums = nation.select(two, F.col("n_nationkey").alias("num"), F.lit(1).alias("abstract"))
+    levels = spark.range(6).select(two, F.lit(1).alias("abstract"), F.col("id").cast("int").alias("level"), (F.col("id") % 3 + 1).cast("int").alias("start"))
+    levels = levels.withColumn("format", F.when((F.col("level") + F.col("doc_id")) % 2 == 0, "decimal").otherwise("bullet"))
+    overrides = nation.where("n_nationkey % 5 = 0").select(two, F.col("n_nationkey").alias("num"), F.sequence(F.lit(0), F.lit(5)).alias("levels"))
+    overrides = overrides.select("doc_id", "num", F.explode("levels").alias("level"), (F.col("num") + 100 + F.col("doc_id")).alias("start"))
+    return rw.numbering_levels(paragraphs, nums, levels, overrides).select("doc_id", "p_partkey", "format", "start")
 
 
 @query("SELECT o_custkey AS doc_id, o_orderkey AS pos, c_name || '.xhtml' AS href, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT - 1 AS place FROM orders JOIN customer ON c_custkey = o_custkey")
@@ -65,30 +70,64 @@ def grouped_metadata(spark, sf_dir):
 # ---- tables and lists
 
 
-@query('SELECT t AS "table", max(n)::BIGINT AS columns FROM (SELECT l_orderkey AS t, l_linenumber, sum(l_partkey % 3 + 1) AS n FROM lineitem GROUP BY ALL) GROUP BY t')
+# an order of a customer is a table (or list) of that document; its number restarts in each document
+_TABLES = "(SELECT o_custkey AS doc_id, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS t, l.* FROM lineitem l JOIN orders ON o_orderkey = l_orderkey)"
+
+
+def _tables(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("l_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey")
+    return lines.withColumn("table", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("l_orderkey"))).withColumn("pre", F.expr(_PLACE))
+
+
+@query(f'SELECT doc_id, t AS "table", max(n)::BIGINT AS columns FROM (SELECT doc_id, t, l_linenumber, sum(l_partkey % 3 + 1) AS n FROM {_TABLES} GROUP BY ALL) GROUP BY doc_id, t')
 def column_counts(spark, sf_dir):
-    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table"), F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 3 + 1).alias("col_span"))
-    return rw.column_counts(cells)
+    return rw.column_counts(_tables(spark, sf_dir).select("doc_id", "table", F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 3 + 1).alias("col_span")))
 
 
-@query('SELECT n_regionkey AS "table", n_nationkey AS col, n_nationkey::DOUBLE / sum(n_nationkey) OVER (PARTITION BY n_regionkey) AS share FROM nation')
+@query(f"""SELECT doc_id, t AS "table", l_partkey % 3 AS col, l_quantity::DOUBLE / greatest(sum(l_quantity::DOUBLE) OVER (PARTITION BY doc_id, t), 1.0::DOUBLE) AS share, {_PLACE} AS pre FROM {_TABLES}""")
 def column_shares(spark, sf_dir):
-    columns = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("table"), F.col("n_nationkey").alias("col"), F.col("n_nationkey").alias("width"))
-    return rw.column_shares(columns).select("table", "col", F.col("share").cast("double").alias("share"))
+    columns = _tables(spark, sf_dir).select("doc_id", "table", "pre", (F.col("l_partkey") % 3).alias("col"), F.col("l_quantity").alias("width"))
+    return rw.column_shares(columns).select("doc_id", "table", "col", "share", "pre")
 
 
-@query(f'SELECT l_orderkey AS "table", 0 AS col, arg_min(l_returnflag, {_PLACE}) AS align FROM lineitem GROUP BY l_orderkey')
+@query(f'SELECT doc_id, t AS "table", l_partkey % 3 AS col, arg_min(l_returnflag, {_PLACE}) AS align FROM {_TABLES} GROUP BY doc_id, t, l_partkey % 3')
 def column_alignments(spark, sf_dir):
-    cells = _lines(spark, sf_dir).select(F.col("doc_id").alias("table"), F.col("pre").alias("row"), F.lit(0).alias("col"), F.col("l_returnflag").alias("align"))
+    cells = _tables(spark, sf_dir).select("doc_id", "table", F.col("pre").alias("row"), (F.col("l_partkey") % 3).alias("col"), F.col("l_returnflag").alias("align"))
     return rw.column_alignments(cells)
 
 
-@query("SELECT l_orderkey AS list, bool_or(l_returnflag = 'R') AS loose FROM lineitem GROUP BY l_orderkey")
+@query(f"SELECT doc_id, t AS list, bool_or(l_returnflag = 'R') AS loose FROM {_TABLES} GROUP BY doc_id, t")
 def loose_lists(spark, sf_dir):
-    children = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("list"), F.when(F.col("l_returnflag") == "R", "Para").otherwise("Plain").alias("tag"))
+    children = _tables(spark, sf_dir).select("doc_id", F.col("table").alias("list"), F.when(F.col("l_returnflag") == "R", "Para").otherwise("Plain").alias("tag"))
     return rw.loose_lists(children)
 
 
+@query(f"""
+WITH k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t, {_PLACE}) AS pre, CASE l_partkey % 3 WHEN 0 THEN 'caption' WHEN 1 THEN 'table' ELSE 'text' END AS kind FROM {_TABLES}),
+n AS (SELECT *, lag(kind) OVER w AS b, lag(pre) OVER w AS bp FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pre)),
+r AS (SELECT *, sum((NOT coalesce((kind = 'caption' AND b = 'table') OR (kind = 'table' AND b = 'caption'), false))::INT) OVER (PARTITION BY doc_id ORDER BY pre) AS run FROM n WHERE kind <> 'text'),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY pre) AS i FROM r)
+SELECT x.doc_id, x.pre::INT AS pre, y.pre::INT AS caption FROM p x LEFT JOIN p y ON y.doc_id = x.doc_id AND y.run = x.run AND y.i = CASE WHEN x.i % 2 = 1 THEN x.i + 1 ELSE x.i - 1 END WHERE x.kind = 'table'
+""")
+def caption_pairs(spark, sf_dir):
+    """Tables and the captions beside them, each taken once."""
+    kind = F.element_at(F.array(F.lit("caption"), F.lit("table"), F.lit("text")), (F.col("l_partkey") % 3 + 1).cast("int"))
+    rows = _tables(spark, sf_dir)
+    return rel.caption_pairs(rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("table", "pre")).alias("pre"), kind.alias("kind")))
+
+
+@query("""
+SELECT l.o_custkey AS doc_id, l.o_orderkey AS pre, CASE WHEN n.o_orderkey IS NOT NULL THEN 'note ' || n.o_orderkey END AS body FROM orders l
+LEFT JOIN orders n ON n.o_custkey = l.o_custkey AND n.o_orderstatus = 'F' AND n.o_orderkey = l.o_orderkey
+""")
+def noted_links(spark, sf_dir):
+    """References resolved in the notes of their document; others stay links."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pre"), F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus")
+    notes = rows.where("o_orderstatus = 'F'").select("doc_id", "id", F.concat(F.lit("note "), "id").alias("body"))
+    return rw.noted_links(rows.select("doc_id", "pre", F.concat(F.lit("#"), "id").alias("url")), notes).select("doc_id", "pre", "body")
+
+
 @query(f"""
 WITH i AS (SELECT l_orderkey AS doc_id, {_PLACE} AS pre, l_partkey % 2 AS num, l_suppkey % 3 AS level FROM lineitem),
 g AS (SELECT *, CASE level WHEN 0 THEN 0 ELSE sum(CASE WHEN level < 1 THEN 1 ELSE 0 END) OVER w END AS g1, CASE level WHEN 2 THEN sum(CASE WHEN level < 2 THEN 1 ELSE 0 END) OVER w ELSE 0 END AS g2 FROM i WINDOW w AS (PARTITION BY doc_id, num ORDER BY pre))
@@ -119,7 +158,7 @@ def style_registry(spark, sf_dir):
 
 @query("SELECT page_id, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS url FROM pages WHERE html LIKE '%<a href=\"%'")
 def first_links(spark, sf_dir):
-    nodes = doc.nodes(doc.parse(table(spark, sf_dir, "pages"), "html", "html", "page_id"))
+    nodes = doc.nodes(doc.Source(table(spark, sf_dir, "pages"), "html", "html", "page_id"), ("Link",), ("pre", "tag", "url"))
     return rw.first_matches(nodes, "Link", "url").select(F.col("doc_id").alias("page_id"), "url")
 
 
@@ -136,7 +175,8 @@ def first_divergence(spark, sf_dir):
     """Trees of texts against those of the same texts, every third with a word put before it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     changed = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Zzyx "), "text")).otherwise(F.col("text")))
-    return rw.first_divergence(doc.nodes(doc.parse(docs, "commonmark", "text")), doc.nodes(doc.parse(changed, "commonmark", "text")))
+    of = lambda df: doc.nodes(doc.Source(df, "commonmark", "text"), columns=("pre", "tag", "text", "depth"))
+    return rw.first_divergence(of(docs), of(changed))
 
 
 @query(f"""

@@ -6,11 +6,14 @@ is repartitioned by doc_id once; what follows reuses that partitioning.
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEVELS = 6
+LEVELS = 9  # of headings; office formats have as many
 
 
 def section_numbers(headings: DataFrame) -> DataFrame:
@@ -90,26 +93,79 @@ def list_sessions(items: DataFrame) -> DataFrame:
 
 
 def row_spans(cells: DataFrame) -> DataFrame:
-    """cells (table, row, col, merged) -> (table, row, col, row_span): merged cells belong to the nearest unmerged one above."""
-    w = Window.partitionBy("table", "col").orderBy("row")
-    return cells.withColumn("top", F.sum(F.when(F.col("merged"), 0).otherwise(1)).over(w)).groupBy("table", "col", "top").agg(F.min("row").alias("row"), F.count("*").alias("row_span")).select("table", "row", "col", "row_span")
+    """cells (doc_id, table, row, col, merged) -> (doc_id, table, row, col, row_span): merged cells belong to the nearest unmerged one above."""
+    w = Window.partitionBy("doc_id", "table", "col").orderBy("row")
+    tops = cells.withColumn("top", F.sum(F.when(F.col("merged"), 0).otherwise(1)).over(w))
+    return tops.groupBy("doc_id", "table", "col", "top").agg(F.min("row").alias("row"), F.count("*").alias("row_span")).select("doc_id", "table", "row", "col", "row_span")
 
 
 def grid_columns(cells: DataFrame) -> DataFrame:
-    """cells (table, row, cell, col_span) with grid_col: the columns that the cells before them cover."""
-    before = Window.partitionBy("table", "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumn("grid_col", F.coalesce(F.sum("col_span").over(before), F.lit(0)))
+    """cells (doc_id, table, row, cell, col_span, and row_span if there are any) with grid_col, the first column that a
+    cell covers: after the cells before it in its row, columns under longer cells of earlier rows skipped.
+
+    Without row_span that is a running sum. With it a table's cells are placed one after the other: a table is a row of
+    arrays then, and a batch of tables is one call of Python.
+    """
+    if "row_span" not in cells.columns:
+        before = Window.partitionBy("doc_id", "table", "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        return cells.withColumn("grid_col", F.coalesce(F.sum("col_span").over(before), F.lit(0)).cast("long"))
+
+    @F.pandas_udf("array<long>")
+    def places(row: pd.Series, wide: pd.Series, high: pd.Series) -> pd.Series:
+        return pd.Series([grid_places(zip(*x)) for x in zip(row, wide, high)], dtype=object)
+
+    rest = [c for c in cells.columns if c not in ("doc_id", "table", "row", "cell")]
+    tables = cells.groupBy("doc_id", "table").agg(F.sort_array(F.collect_list(F.struct("row", "cell", *rest))).alias("__cells"))
+    tables = tables.withColumn("__at", places("__cells.row", "__cells.col_span", "__cells.row_span"))
+    found = tables.select("doc_id", "table", F.explode(F.arrays_zip("__cells", "__at")).alias("__x"))
+    return found.select("doc_id", "table", "__x.__cells.*", F.col("__x.__at").alias("grid_col")).select(*cells.columns, "grid_col")
+
+
+def grid_places(cells) -> list[int]:
+    """The first column of each of a table's cells (row, col_span, row_span), given row by row."""
+    covered: dict[int, int] = {}  # column: the row from which it is free again
+    out, at, now = [], 0, None
+    for row, wide, high in cells:
+        if row != now:
+            at, now = 0, row
+        while covered.get(at, row) > row:
+            at += 1
+        out.append(at)
+        for column in range(at, at + max(1, int(wide))):
+            covered[column] = row + max(1, int(high))
+        at += max(1, int(wide))
+    return out
 
 
 def style_names(styles: DataFrame, hops: int = 16) -> DataFrame:
-    """styles (id, name, based_on) -> (id, hop, name) of each style and those it is based on, nearest first, at most hops."""
-    links = styles.select(F.col("id").alias("at"), F.col("name").alias("of"), F.col("based_on").alias("next"))
-    step = styles.select("id", F.lit(0).alias("hop"), "name", "based_on")
-    out = step
-    for hop in range(1, hops):
-        step = step.where("based_on is not null").join(links, F.col("based_on") == F.col("at")).select("id", F.lit(hop).alias("hop"), F.col("of").alias("name"), F.col("next").alias("based_on"))
-        out = out.unionByName(step)
-    return out.select("id", "hop", "name")
+    """styles (doc_id, id, name, based_on) -> (doc_id, id, hop, name) of each style and those of its document that it is
+    based on, nearest first, at most hops: a recursive join that stops when no chain goes on."""
+    view = f"styles_{uuid.uuid4().hex}"
+    styles.select("doc_id", "id", "name", "based_on").createOrReplaceTempView(view)
+    return styles.sparkSession.sql(f"""
+        WITH RECURSIVE chains MAX RECURSION LEVEL {hops + 1} AS (
+          SELECT doc_id, id, 0 AS hop, name, based_on FROM {view}
+          UNION ALL
+          SELECT c.doc_id, c.id, c.hop + 1, s.name, s.based_on FROM chains c JOIN {view} s ON s.doc_id = c.doc_id AND s.id = c.based_on WHERE c.hop + 1 < {hops}
+        ) SELECT doc_id, id, hop, name FROM chains""")
+
+
+def caption_pairs(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, pre, kind), siblings in order -> (doc_id, pre, caption): each `table` or `image` with the pre of
+    the `caption` beside it. One before it is taken first, one after it if that is no other's; each belongs to one at most."""
+    w = Window.partitionBy("doc_id").orderBy("pre")
+    body = lambda c: c.isin("table", "image")
+    near = blocks.withColumn("b", F.lag("kind").over(w)).withColumn("bp", F.lag("pre").over(w)).withColumn("a", F.lead("kind").over(w)).withColumn("ap", F.lead("pre").over(w))
+    # runs of caption and body in turns are paired from their start on
+    turn = F.col("kind") == "caption"
+    start = ~((turn & body(F.coalesce("b", F.lit("")))) | (body(F.col("kind")) & (F.col("b") == "caption")))
+    runs_ = near.where(turn | body(F.col("kind"))).withColumn("run", F.sum(F.coalesce(start, F.lit(True)).cast("int")).over(w))
+    placed = runs_.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("pre")))
+    first = placed.where("n % 2 = 1").select("doc_id", "run", "n", "pre", "kind")
+    second = placed.where("n % 2 = 0").select("doc_id", "run", (F.col("n") - 1).alias("n"), F.col("pre").alias("mate"))
+    both = first.join(second, ["doc_id", "run", "n"], "left")
+    found = both.select("doc_id", F.when(F.col("kind") == "caption", F.col("mate")).otherwise(F.col("pre")).alias("pre"), F.when(F.col("kind") == "caption", F.col("pre")).otherwise(F.col("mate")).alias("caption"))
+    return found.where("pre IS NOT NULL")
 
 
 def score(results: DataFrame, ours: str, theirs: str) -> DataFrame:

@@ -23,9 +23,10 @@ def repointed(links: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def numbering_levels(paragraphs: DataFrame, nums: DataFrame, levels: DataFrame, overrides: DataFrame) -> DataFrame:
-    """paragraphs (num, level, ...) with the format and start of their level: num -> abstract -> level, overrides first."""
-    found = paragraphs.join(nums.select("num", "abstract"), "num", "left").join(levels.select("abstract", "level", "format", "start"), ["abstract", "level"], "left")
-    found = found.join(overrides.select("num", "level", F.col("start").alias("__start")), ["num", "level"], "left")
+    """paragraphs (doc_id, num, level, ...) with the format and start of their level, by the tables of their document:
+    num -> abstract -> level, overrides first."""
+    found = paragraphs.join(nums.select("doc_id", "num", "abstract"), ["doc_id", "num"], "left").join(levels.select("doc_id", "abstract", "level", "format", "start"), ["doc_id", "abstract", "level"], "left")
+    found = found.join(overrides.select("doc_id", "num", "level", F.col("start").alias("__start")), ["doc_id", "num", "level"], "left")
     return found.withColumn("start", F.coalesce("__start", "start")).drop("__start", "abstract")
 
 
@@ -43,24 +44,36 @@ def grouped_metadata(fields: DataFrame, single: tuple[str, ...] = ("title",)) ->
 
 
 def column_counts(cells: DataFrame) -> DataFrame:
-    """cells (table, row, col_span) -> (table, columns): the widest row's sum of spans."""
-    return cells.groupBy("table", "row").agg(F.sum("col_span").alias("n")).groupBy("table").agg(F.max("n").alias("columns"))
+    """cells (doc_id, table, row, col_span) -> (doc_id, table, columns): the widest row's sum of spans."""
+    rows = cells.groupBy("doc_id", "table", "row").agg(F.sum("col_span").alias("n"))
+    return rows.groupBy("doc_id", "table").agg(F.max("n").alias("columns"))
+
+
+def column_widths(cells: DataFrame) -> DataFrame:
+    """cells (doc_id, table, col, text) -> (doc_id, table, col, width): the length of a column's longest cell."""
+    return cells.groupBy("doc_id", "table", "col").agg(F.max(F.char_length("text")).alias("width"))
 
 
 def column_shares(columns: DataFrame) -> DataFrame:
-    """columns (table, col, width) with share: widths that sum to more than 1 are scaled to sum to 1."""
-    total = F.sum("width").over(Window.partitionBy("table"))
+    """columns (doc_id, table, col, width) with share: widths that sum to more than 1 are scaled to sum to 1."""
+    total = F.sum("width").over(Window.partitionBy("doc_id", "table"))
     return columns.withColumn("share", F.when(total > 1, F.col("width") / total).otherwise(F.col("width")))
 
 
 def column_alignments(cells: DataFrame) -> DataFrame:
-    """cells (table, row, col, align) -> (table, col, align): that of a column's first cell."""
-    return cells.groupBy("table", "col").agg(F.min_by("align", "row").alias("align"))
+    """cells (doc_id, table, row, col, align) -> (doc_id, table, col, align): that of a column's first cell."""
+    return cells.groupBy("doc_id", "table", "col").agg(F.min_by("align", "row").alias("align"))
 
 
 def loose_lists(children: DataFrame) -> DataFrame:
-    """children (list, tag) of list items -> (list, loose): a list is loose if an item holds a Para."""
-    return children.groupBy("list").agg(F.bool_or(F.col("tag") == "Para").alias("loose"))
+    """children (doc_id, list, tag) of list items -> (doc_id, list, loose): a list is loose if an item holds a Para."""
+    return children.groupBy("doc_id", "list").agg(F.bool_or(F.col("tag") == "Para").alias("loose"))
+
+
+def noted_links(links: DataFrame, notes: DataFrame) -> DataFrame:
+    """links (doc_id, url, ...) with body: that of the note (doc_id, id, body) of their document that "#id" names; others have none and stay links."""
+    found = notes.select("doc_id", F.concat(F.lit("#"), "id").alias("url"), "body").dropDuplicates(["doc_id", "url"])
+    return links.join(found, ["doc_id", "url"], "left")
 
 
 def item_numbers(items: DataFrame, levels: int = 9) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as fn
 from docloom.operators import relational as rel
+from docloom.operators import rewrite as rw
 from docloom.plans import documents as doc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,6 +216,13 @@ def auto_identifiers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", fn.auto_identifier(F.col("c_name")).alias("id"))
 
 
+def _nation_tables(spark, sf_dir) -> DataFrame:
+    """A pipe table of nations per region."""
+    line = F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), "n_name", F.lit(" |"))
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("lines"))
+    return rows.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("| key | name |\n|---:|:---|\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("content"))
+
+
 @query("""
 WITH t AS (SELECT n_regionkey::BIGINT AS doc_id, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS r FROM nation)
 SELECT doc_id, 'head' AS section, 0 AS row, c::INT AS col, CASE c WHEN 0 THEN 'key' ELSE 'name' END AS text FROM (SELECT DISTINCT doc_id FROM t), range(2) x(c)
@@ -222,10 +230,7 @@ UNION ALL SELECT doc_id, 'body', r, 0, n_nationkey::VARCHAR FROM t UNION ALL SEL
 """)
 def gfm_tables(spark, sf_dir):
     """Nations as a pipe table per region, parsed into cells."""
-    line = F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), "n_name", F.lit(" |"))
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("lines"))
-    made = rows.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("| key | name |\n|---:|:---|\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("content"))
-    return doc.cells(doc.Source(made, "gfm")).select("doc_id", "section", "row", "col", "text")
+    return doc.cells(doc.Source(_nation_tables(spark, sf_dir), "gfm")).select("doc_id", "section", "row", "col", "text")
 
 
 @query("SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT - 1 AS item, 'order ' || o_orderkey AS text FROM orders")
@@ -325,37 +330,55 @@ def list_sessions(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS t, l_linenumber AS r, l_linenumber > 1 AND l_quantity > 25 AS merged FROM lineitem),
-g AS (SELECT *, sum(CASE WHEN merged THEN 0 ELSE 1 END) OVER (PARTITION BY t ORDER BY r) AS top FROM c)
-SELECT t AS "table", min(r) AS row, count(*)::BIGINT AS row_span FROM g GROUP BY t, top
+WITH c AS (SELECT o_custkey AS doc_id, l_linenumber AS r, l_orderkey AS t, l_linenumber > 1 AND l_quantity > 25 AS merged FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+g AS (SELECT *, sum(CASE WHEN merged THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, t ORDER BY r) AS top FROM c)
+SELECT doc_id, t % 2 AS "table", t AS col, min(r) AS row, count(*)::BIGINT AS row_span FROM g GROUP BY doc_id, t, top
 """)
 def row_spans(spark, sf_dir):
-    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table"), F.col("l_linenumber").alias("row"), F.lit(0).alias("col"), ((F.col("l_linenumber") > 1) & (F.col("l_quantity") > 25)).alias("merged"))
-    return rel.row_spans(cells).select("table", "row", "row_span")
+    """An order is a column of a customer's two tables."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("l_orderkey"))
+    cells = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").select("doc_id", (F.col("l_orderkey") % 2).alias("table"), F.col("l_linenumber").alias("row"), F.col("l_orderkey").alias("col"), ((F.col("l_linenumber") > 1) & (F.col("l_quantity") > 25)).alias("merged"))
+    return rel.row_spans(cells)
 
 
 @query(f"""
-SELECT l_orderkey AS "table", {_PLACE} AS cell, coalesce(sum(l_partkey % 3 + 1) OVER (PARTITION BY l_orderkey ORDER BY {_PLACE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS grid_col FROM lineitem
+SELECT l_orderkey AS doc_id, l_suppkey % 2 AS "table", {_PLACE} AS cell, coalesce(sum(l_partkey % 3 + 1) OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY {_PLACE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS grid_col FROM lineitem
 """)
 def grid_columns(spark, sf_dir):
-    cells = _lines(spark, sf_dir).select(F.col("doc_id").alias("table"), F.lit(0).alias("row"), F.col("pre").alias("cell"), (F.col("l_partkey") % 3 + 1).alias("col_span"))
-    return rel.grid_columns(cells).select("table", "cell", "grid_col")
+    cells = _lines(spark, sf_dir).select("doc_id", (F.col("l_suppkey") % 2).alias("table"), F.lit(0).alias("row"), F.col("pre").alias("cell"), (F.col("l_partkey") % 3 + 1).alias("col_span"))
+    return rel.grid_columns(cells).select("doc_id", "table", "cell", "grid_col")
 
 
 @query("""
-WITH RECURSIVE s AS (SELECT p_partkey AS id, 0 AS hop, p_brand AS name, p_partkey // 2 AS up FROM part
-  UNION ALL SELECT s.id, s.hop + 1, p.p_brand, p.p_partkey // 2 FROM s JOIN part p ON p.p_partkey = s.up WHERE s.hop < 15)
-SELECT id, hop::INT AS hop, name FROM s
+SELECT o_custkey AS doc_id, (o_orderkey % 2)::INT AS "table", r::INT AS row, c::INT AS cell, (CASE WHEN r = 0 THEN c WHEN r = 1 THEN c + 1 ELSE c * 2 END)::BIGINT AS grid_col
+FROM (SELECT DISTINCT o_custkey, o_orderkey % 2 AS o_orderkey FROM orders), (VALUES (0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1)) x(r, c)
+""")
+def spanned_grids(spark, sf_dir):
+    """Tables whose first cell is two rows high and whose last row has wide cells."""
+    shape = spark.sql("SELECT * FROM VALUES (0, 0, 1, 2), (0, 1, 1, 1), (0, 2, 1, 1), (1, 0, 1, 1), (1, 1, 1, 1), (2, 0, 2, 1), (2, 1, 2, 1) AS x(row, cell, col_span, row_span)")
+    tables = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 2).cast("int").alias("table")).distinct()
+    return rel.grid_columns(tables.crossJoin(F.broadcast(shape))).select("doc_id", "table", "row", "cell", "grid_col")
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT unnest(range(2))::INT AS doc_id), b AS (SELECT doc_id, p_partkey AS id, p_brand AS name, CASE doc_id WHEN 0 THEN p_partkey // 2 ELSE p_partkey - 700 END AS up FROM part, d),
+s AS (SELECT doc_id, id, 0 AS hop, name, up FROM b UNION ALL SELECT s.doc_id, s.id, s.hop + 1, b.name, b.up FROM s JOIN b ON b.doc_id = s.doc_id AND b.id = s.up WHERE s.hop < 15)
+SELECT doc_id, id, hop::INT AS hop, name FROM s
 """)
 def style_inheritance(spark, sf_dir):
-    """Styles that are based on others, nearest first."""
-    styles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.floor(F.col("p_partkey") / 2).alias("based_on"))
-    return rel.style_names(styles)
+    """Styles of two documents that are based on others of theirs, nearest first; both use the same ids."""
+    two = F.explode(F.array(F.lit(0), F.lit(1))).alias("doc_id")
+    styles = table(spark, sf_dir, "part").select(two, F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"))
+    return rel.style_names(styles.withColumn("based_on", F.when(F.col("doc_id") == 0, F.floor(F.col("id") / 2)).otherwise(F.col("id") - 700)))
 
 
-@query("SELECT n_regionkey, max(length(n_name))::INT AS width FROM nation GROUP BY n_regionkey")
+@query("""
+SELECT n_regionkey::BIGINT AS doc_id, 0 AS "table", 0 AS col, greatest(max(length(n_nationkey::VARCHAR)), 3)::INT AS width FROM nation GROUP BY n_regionkey
+UNION ALL SELECT n_regionkey, 0, 1, greatest(max(length(n_name)), 4)::INT FROM nation GROUP BY n_regionkey
+""")
 def column_widths(spark, sf_dir):
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.max(F.length("n_name")).alias("width"))
+    """Widths of the columns of tables that were read from markdown."""
+    return rw.column_widths(doc.cells(doc.Source(_nation_tables(spark, sf_dir), "gfm")))
 
 
 @query("SELECT count(*) FILTER (WHERE quality = toxic)::BIGINT AS matched, count(*)::BIGINT AS total, round(avg((quality = toxic)::INT::DOUBLE) * 100, 2) AS percent FROM labels")
