@@ -260,6 +260,12 @@ def metadata(asts: DataFrame | Source) -> DataFrame:
     return _of_trees(asts, lambda doc: [(k, i, v) for k, m in sorted(doc["meta"].items()) for i, v in enumerate(meta_texts(m))], "key string, ord int, value string")
 
 
+def capabilities(spark: SparkSession) -> DataFrame:
+    """(format, readable, writable, packaged) of all formats; packaged ones hold their images."""
+    names = ", ".join(f"('{f}', {f in READABLE}, {f in WRITABLE}, {f in PACKAGES and f != 'ipynb'})".lower() for f in sorted({*READABLE, *WRITABLE}))
+    return spark.sql(f"SELECT * FROM VALUES {names} AS f(format, readable, writable, packaged)")
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, format, content) of the files under path; doc_id is the path, formats go by extension."""
     from docloom.functions.text import format_of_path

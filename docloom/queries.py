@@ -451,4 +451,4 @@ def lengths(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(fn.length_mm(F.concat(F.col("p_size").cast("string"), unit)), 6).alias("mm"))
 
 
-from docloom import node_queries  # noqa: E402, F401 - registers its own
+from docloom import doc_queries, node_queries  # noqa: E402, F401 - register their own

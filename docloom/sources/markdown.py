@@ -216,7 +216,7 @@ def quote(lines: list[str], i: int, state: State, out: list) -> int:
         if m := _QUOTE.match(lines[i]):
             body.append(lines[i][m.end() :])
         elif lines[i].strip() and body and body[-1].strip() and open_paragraph(body, state) and not interrupts(lines[i], state):
-            body.append("    " * bool(_SETEXT.match(lines[i])) + lines[i].lstrip())
+            body.append("    " * bool(_SETEXT.match(lines[i]) or indent_of(lines[i]) >= 4) + lines[i].lstrip())
         else:
             break
         i += 1
@@ -260,7 +260,8 @@ def listing(lines: list[str], i: int, state: State, out: list) -> int:
             elif indent_of(text) >= width:
                 body.append(text[width:])
             elif body[-1].strip() and not interrupts(text, state) and not _BULLET.match(text) and not _ORDERED.match(text) and open_paragraph(body, state):
-                body.append(text.lstrip())
+                # set in as far as that, it goes on with the paragraph whatever it looks like
+                body.append(("    " if indent_of(text) >= 4 else "") + text.lstrip())
             else:
                 break
             i += 1

@@ -13,9 +13,10 @@ from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
 from docloom.ast import DocumentError, attr, cells_of, document, el, relayered, table_node, text_of, trim, walk, words
-from docloom.operators.writers import html_page, write_text
+from docloom.operators.writers import html_page, meta_texts, write_text
 from docloom.sources.html import identifier, read_html
 from docloom.sources.markdown import read_markdown
+from docloom.sources.media import inspect
 
 STAMP = (1980, 1, 1, 0, 0, 0)  # of every part, so that equal documents give equal packages
 
@@ -178,22 +179,37 @@ _R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _RUNS = (("i", "Emph"), ("b", "Strong"), ("smallCaps", "SmallCaps"), ("strike", "Strikeout"), ("u", "Underline"))
 
 
+# Paragraph styles of metadata and of captions, by name.
+_METADATA = {"title": "title", "subtitle": "subtitle", "author": "author", "date": "date", "abstract": "abstract"}
+_CAPTIONS = {"caption", "table caption", "image caption"}
+
+
 class DocxReader:
     def __init__(self, data: bytes):
         self.package = Package(data)
         self.body = kid(self.package.xml("word/document.xml"), "body")
         if self.body is None:
             raise DocumentError("no word/document.xml")
-        self.rels = {get(r, "Id"): get(r, "Target") for r in self.package.kids("word/_rels/document.xml.rels")}
+        relations = lambda part: {get(r, "Id"): get(r, "Target") for r in self.package.kids(f"word/_rels/{part}.xml.rels")}
+        self.rels = relations("document")
         self.styles = {get(s, "styleId"): (get(kid(s, "name"), "val") if kid(s, "name") is not None else "", get(kid(s, "basedOn"), "val") if kid(s, "basedOn") is not None else "") for s in self.package.kids("word/styles.xml") if local(s.tag) == "style"}
         abstract, self.numbers = {}, {}
         for n in self.package.kids("word/numbering.xml"):
             if local(n.tag) == "abstractNum":
                 abstract[get(n, "abstractNumId")] = {get(v, "ilvl"): (get(kid(v, "numFmt"), "val") if kid(v, "numFmt") is not None else "bullet", int(get(kid(v, "start"), "val", "1")) if kid(v, "start") is not None else 1) for v in n if local(v.tag) == "lvl"}
             elif local(n.tag) == "num":
-                self.numbers[get(n, "numId")] = abstract.get(get(kid(n, "abstractNumId"), "val"), {})
-        self.notes = {get(n, "id"): n for n in self.package.kids("word/footnotes.xml")}
-        self.open_notes: set[str] = set()
+                levels = dict(abstract.get(get(kid(n, "abstractNumId"), "val"), {}))
+                for o in n:
+                    if local(o.tag) == "lvlOverride" and (fresh := kid(o, "startOverride")) is not None:
+                        levels[get(o, "ilvl")] = (levels.get(get(o, "ilvl"), ("bullet", 1))[0], int(get(fresh, "val", "1")))
+                self.numbers[get(n, "numId")] = levels
+        # a note's links and images are those of its own part
+        self.notes = {}
+        for kind, part in (("footnoteReference", "footnotes"), ("endnoteReference", "endnotes")):
+            own = relations(part)
+            self.notes |= {(kind, get(n, "id")): (n, own) for n in self.package.kids(f"word/{part}.xml")}
+        self.open_notes: set[tuple[str, str]] = set()
+        self.meta: dict = {}
         self.taken: dict[str, int] = {}
         self.used: set[str] = set()
 
@@ -207,11 +223,34 @@ class DocxReader:
             out.append(name.lower())
         return out or ([ident.lower()] if ident else [])
 
+    def caption_of(self, e) -> list | None:
+        """A caption paragraph's inlines; None of others."""
+        style = kid(e, "pPr", "pStyle") if local(e.tag) == "p" else None
+        if style is None or not _CAPTIONS & set(self.style_names(get(style, "val"))):
+            return None
+        return trim(self.inlines(e))
+
     def blocks(self, nodes) -> list:
         out: list = []
         pending: list = []  # (level, numId, blocks)
-        for e in nodes:
+        caption: list | None = None  # of the table or image that comes next
+        nodes = list(nodes)
+        for at, e in enumerate(nodes):
             name = local(e.tag)
+            found = self.caption_of(e)
+            if found is not None:
+                out += self.lists(pending)
+                pending = []
+                ahead = local(nodes[at + 1].tag) if at + 1 < len(nodes) else ""
+                if out and lone_image(out[-1]):
+                    out[-1] = figure(out[-1], found)
+                elif out and out[-1]["t"] == "Table" and not out[-1]["c"][1][1] and ahead != "tbl":
+                    out[-1]["c"][1][1] = [el("Plain", found)]
+                elif ahead == "tbl":
+                    caption = found
+                elif found:
+                    out.append(el("Para", found))
+                continue
             if name == "p":
                 block, number = self.paragraph(e)
                 if number and block:
@@ -239,6 +278,8 @@ class DocxReader:
                 out += self.lists(pending)
                 pending = []
                 out.append(self.table(e))
+                if caption is not None:
+                    out[-1]["c"][1][1], caption = [el("Plain", caption)] if caption else [], None
             elif name in ("sdt", "sdtContent", "ins"):
                 out += self.blocks(kid(e, "sdtContent") if kid(e, "sdtContent") is not None else e)
         return out + self.lists(pending)
@@ -317,8 +358,8 @@ class DocxReader:
                 inner.append(el("Space"))
             elif name in ("br", "cr"):
                 inner.append(el("LineBreak"))
-            elif name == "footnoteReference":
-                inner += self.note(get(e, "id"))
+            elif name in ("footnoteReference", "endnoteReference"):
+                inner += self.note((name, get(e, "id")))
             elif name == "drawing":
                 blip = next((x for x in e.iter() if local(x.tag) == "blip"), None)
                 about = next((x for x in e.iter() if local(x.tag) == "docPr"), None)
@@ -339,14 +380,37 @@ class DocxReader:
                 inner = [el(kind, inner)]
         return inner
 
-    def note(self, ident: str) -> list:
+    def note(self, ident: tuple[str, str]) -> list:
         if ident in self.open_notes or ident not in self.notes:
             return []
         self.open_notes.add(ident)
-        blocks = self.blocks(self.notes[ident])
+        element, rels = self.notes[ident]
+        outer, self.rels = self.rels, rels
+        blocks = self.blocks(element)
+        self.rels = outer
         self.open_notes.discard(ident)
         return [el("Note", blocks)]
 
+    def leading(self, nodes: list) -> list:
+        """The body after the paragraphs at its start whose styles make them metadata; a repeated author makes a list."""
+        for i, e in enumerate(nodes):
+            style = kid(e, "pPr", "pStyle") if local(e.tag) == "p" else None
+            names = self.style_names(get(style, "val")) if style is not None else []
+            field = next((_METADATA[n] for n in names if n in _METADATA), None)
+            inner = trim(self.inlines(e)) if field else []
+            if not field:
+                return nodes[i:]
+            if field == "abstract":
+                before = self.meta.get(field, {"c": []})["c"]
+                self.meta[field] = el("MetaBlocks", [*before, el("Para", inner)])
+            elif inner:
+                value = el("MetaInlines", inner)
+                if field == "author" and field in self.meta:
+                    had = self.meta[field]
+                    value = el("MetaList", [*(had["c"] if had["t"] == "MetaList" else [had]), value])
+                self.meta[field] = value
+        return []
+
     def table(self, t) -> dict:
         rows, heads = [], 0
         for r in (x for x in t if local(x.tag) == "tr"):
@@ -376,9 +440,18 @@ class DocxReader:
 
 def read_docx(data: bytes) -> tuple[dict, dict[str, bytes]]:
     reader = DocxReader(data)
-    blocks = reader.blocks(reader.body)
+    blocks = reader.blocks(reader.leading(list(reader.body)))
     media = {t: b for t in sorted(reader.used) if (b := reader.package.bytes("word/" + t)) is not None}
-    return document(blocks), media
+    return document(blocks, reader.meta), media
+
+
+def lone_image(block: dict) -> bool:
+    return block["t"] in ("Para", "Plain") and len(block["c"]) == 1 and block["c"][0]["t"] == "Image"
+
+
+def figure(block: dict, caption: list) -> dict:
+    """A Figure of an image paragraph and its caption."""
+    return el("Figure", attr(), [None, [el("Plain", caption)] if caption else []], [el("Plain", block["c"])])
 
 
 class DocxWriter:
@@ -413,10 +486,25 @@ class DocxWriter:
         if t == "HorizontalRule":
             return self.p("", "", '<w:pBdr><w:bottom w:val="single" w:sz="6" w:space="1" w:color="auto"/></w:pBdr>')
         if t == "Table":
-            out = '<w:tbl><w:tblPr><w:tblStyle w:val="Table"/></w:tblPr><w:tblGrid>' + "<w:gridCol/>" * len(c[2]) + "</w:tblGrid>"
+            out = self.blocks(c[1][1], "TableCaption") + '<w:tbl><w:tblPr><w:tblStyle w:val="Table"/></w:tblPr><w:tblGrid>' + "<w:gridCol/>" * len(c[2]) + "</w:tblGrid>"
+            open_: dict[int, tuple[int, int]] = {}  # column: rows still under a tall cell, and its columns
             for section, _, cells in cells_of(c):
-                head = "<w:trPr><w:tblHeader/></w:trPr>" if section == "head" else ""
-                out += f"<w:tr>{head}" + "".join(f"<w:tc><w:tcPr>{f'<w:gridSpan w:val=\"{x[3]}\"/>' if x[3] > 1 else ''}</w:tcPr>{self.blocks(x[4]) or self.p('')}</w:tc>" for x in cells) + "</w:tr>"
+                head, line, x, cells = "<w:trPr><w:tblHeader/></w:trPr>" if section == "head" else "", "", 0, list(cells)
+                while cells or x in open_:
+                    if x in open_:
+                        rows, wide = open_.pop(x)
+                        if rows > 1:
+                            open_[x] = (rows - 1, wide)
+                        line += f"<w:tc><w:tcPr>{_grid_span(wide)}<w:vMerge/></w:tcPr>{self.p('')}</w:tc>"
+                    else:
+                        cell = cells.pop(0)
+                        wide = max(1, cell[3])
+                        if cell[2] > 1:
+                            open_[x] = (cell[2] - 1, wide)
+                        merge = '<w:vMerge w:val="restart"/>' if cell[2] > 1 else ""
+                        line += f"<w:tc><w:tcPr>{_grid_span(wide)}{merge}</w:tcPr>{self.blocks(cell[4]) or self.p('')}</w:tc>"
+                    x += wide
+                out += f"<w:tr>{head}{line}</w:tr>"
             return out + "</w:tbl>" + self.p("")
         if t == "LineBlock":
             return self.p("<w:r><w:br/></w:r>".join(map(self.runs, c)))
@@ -447,13 +535,19 @@ class DocxWriter:
     def runs(self, nodes, props="") -> str:
         out = ""
         marks = {"Emph": "<w:i/>", "Strong": "<w:b/>", "Strikeout": "<w:strike/>", "Underline": '<w:u w:val="single"/>', "SmallCaps": "<w:smallCaps/>", "Superscript": '<w:vertAlign w:val="superscript"/>', "Subscript": '<w:vertAlign w:val="subscript"/>'}
+        plain: list[str] = []  # neighbouring text is one run
         for n in nodes:
             t, c = n["t"], n.get("c")
             if t == "Str":
-                out += self.text(c, props)
-            elif t in ("Space", "SoftBreak"):
-                out += self.text(" ", props)
-            elif t == "LineBreak":
+                plain.append(c)
+                continue
+            if t in ("Space", "SoftBreak"):
+                plain.append(" ")
+                continue
+            if plain:
+                out += self.text("".join(plain), props)
+                plain = []
+            if t == "LineBreak":
                 out += "<w:r><w:br/></w:r>"
             elif t in marks:
                 out += self.runs(c, props + marks[t])
@@ -476,7 +570,7 @@ class DocxWriter:
                 out += self.text(a, props) + self.runs(c[1], props) + self.text(b, props)
             elif t in ("Span", "Cite"):
                 out += self.runs(c[1], props)
-        return out
+        return out + self.text("".join(plain), props) if plain else out
 
     def picture(self, c) -> str:
         data = self.media.get(c[2][0])
@@ -489,15 +583,27 @@ class DocxWriter:
         return f'<w:r><w:drawing><wp:inline><wp:extent cx="952500" cy="952500"/><wp:docPr id="1" name="Picture" descr={quoteattr(text_of(c[1]))}/><a:graphic><a:graphicData><pic:pic><pic:blipFill><a:blip r:embed="{ident}"/></pic:blipFill></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r>'
 
 
+def _grid_span(n: int) -> str:
+    return f'<w:gridSpan w:val="{n}"/>' if n > 1 else ""
+
+
 _NS = f'xmlns:w="{_W}" xmlns:r="{_R}" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture"'
 _XML = '<?xml version="1.0" encoding="UTF-8"?>\n'
 # Style ids and names.
-_STYLES = [("BodyText", "Body Text"), ("Compact", "Compact"), ("BlockText", "Block Text"), ("SourceCode", "Source Code"), ("DefinitionTerm", "Definition Term"), ("Definition", "Definition"), ("FootnoteText", "footnote text"), ("CaptionedFigure", "Captioned Figure"), ("ImageCaption", "Image Caption")]
+_STYLES = [("BodyText", "Body Text"), ("Compact", "Compact"), ("BlockText", "Block Text"), ("SourceCode", "Source Code"), ("DefinitionTerm", "Definition Term"), ("Definition", "Definition"), ("FootnoteText", "footnote text"), ("CaptionedFigure", "Captioned Figure"), ("ImageCaption", "Image Caption"), ("TableCaption", "Table Caption"), ("Title", "Title"), ("Subtitle", "Subtitle"), ("Author", "Author"), ("Date", "Date"), ("Abstract", "Abstract")]
 
 
 def write_docx(doc: dict, media: dict[str, bytes] | None = None) -> bytes:
     w = DocxWriter(media or {})
-    body = w.blocks(doc["blocks"])
+    body = ""
+    for field in ("title", "subtitle", "author", "date", "abstract"):
+        value = doc["meta"].get(field)
+        for one in value["c"] if value and value["t"] == "MetaList" else [value] if value else []:
+            if one["t"] == "MetaBlocks":
+                body += w.blocks(one["c"], field.capitalize())
+            else:
+                body += w.p(w.runs(one["c"]) if one["t"] == "MetaInlines" else w.text(str(one.get("c", ""))), field.capitalize())
+    body += w.blocks(doc["blocks"])
     styles = "".join(f'<w:style w:type="paragraph" w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for i, n in [*_STYLES, *((f"Heading{k}", f"heading {k}") for k in range(1, 10))])
     styles += '<w:style w:type="character" w:styleId="VerbatimChar"><w:name w:val="Verbatim Char"/></w:style>'
     formats = {"Decimal": "decimal", "LowerAlpha": "lowerLetter", "UpperAlpha": "upperLetter", "LowerRoman": "lowerRoman", "UpperRoman": "upperRoman"}
@@ -533,11 +639,34 @@ def read_odt(data: bytes) -> tuple[dict, dict[str, bytes]]:
     if body is None:
         raise DocumentError("no content.xml")
     marks: dict[str, list[str]] = {}
-    for s in content.iter():
-        if local(s.tag) == "style" and (props := kid(s, "text-properties")) is not None:
+    more = package.xml("styles.xml")
+    named = {get(s, "name"): s for part in (more, content) if part is not None for s in part.iter() if local(s.tag) == "style"}
+
+    def lineage(name: str) -> list[str]:
+        """A style and those it is based on, nearest first, at most 16."""
+        out: list[str] = []
+        while name and name not in out and len(out) < 16:
+            out.append(name)
+            name = get(named[name], "parent-style-name") if name in named else ""
+        return out
+
+    def indented(name: str) -> bool:
+        """Whether a paragraph style, or the nearest it is based on that says so, is set in by 5.5 mm or more."""
+        for n in lineage(name):
+            if n in named and (props := kid(named[n], "paragraph-properties")) is not None and get(props, "margin-left"):
+                m = re.fullmatch(r"([\d.]+)(mm|cm|in|pt)", get(props, "margin-left"))
+                return bool(m) and float(m[1]) * {"mm": 1, "cm": 10, "in": 25.4, "pt": 25.4 / 72}[m[2]] >= 5.5
+        return False
+
+    for s in named.values():
+        if (props := kid(s, "text-properties")) is not None:
             found = [k for k, on in (("Emph", get(props, "font-style") == "italic"), ("Strong", get(props, "font-weight") == "bold"), ("Strikeout", get(props, "text-line-through-style") not in ("", "none")), ("Underline", get(props, "text-underline-style") not in ("", "none"))) if on]
             marks[get(s, "name")] = found
-    ordered = {get(s, "name") for s in content.iter() if local(s.tag) == "list-style" and kid(s, "list-level-style-number") is not None}
+    ordered: dict[str, int] = {}  # starts of numbered list styles
+    for part in (more, content):
+        for s in part.iter() if part is not None else ():
+            if local(s.tag) == "list-style" and (level := kid(s, "list-level-style-number")) is not None:
+                ordered[get(s, "name")] = int(get(level, "start-value", "1") or 1)
     used: set[str] = set()
 
     def inlines(e) -> list:
@@ -548,7 +677,7 @@ def read_odt(data: bytes) -> tuple[dict, dict[str, bytes]]:
                 inner = inlines(k)
                 if get(k, "style-name") == "Source_Text":
                     inner = [el("Code", attr(), text_of(inner))]
-                for m in reversed(marks.get(get(k, "style-name"), [])):
+                for m in reversed(list(dict.fromkeys(m for n in lineage(get(k, "style-name")) for m in marks.get(n, [])))):
                     inner = [el(m, inner)]
                 out += inner
             elif name == "s":
@@ -567,6 +696,7 @@ def read_odt(data: bytes) -> tuple[dict, dict[str, bytes]]:
         return relayered(out)
 
     taken: dict[str, int] = {}
+    numbered: dict[str, int] = {}  # the last number of each list style
 
     def blocks(parent, style="") -> list:
         out: list = []
@@ -588,17 +718,24 @@ def read_odt(data: bytes) -> tuple[dict, dict[str, bytes]]:
                 elif kind == "Horizontal_20_Line":
                     out.append(el("HorizontalRule"))
                 elif inner := trim(inlines(e)):
-                    if kind == "Quotations":
+                    if "Quotations" in lineage(kind) or indented(kind):
                         if out and out[-1]["t"] == "BlockQuote":
                             out[-1]["c"].append(el("Para", inner))
                         else:
                             out.append(el("BlockQuote", [el("Para", inner)]))
                     else:
-                        out.append(el("Para", inner))
+                        out.append(el("Plain" if kind == "Compact" else "Para", inner))
             elif name == "list":
                 kind = get(e, "style-name") or style
-                items = [blocks(i, kind) for i in e if local(i.tag) == "list-item"]
-                out.append(el("OrderedList", [1, el("Decimal"), el("Period")], items) if kind in ordered else el("BulletList", items))
+                entries = [i for i in e if local(i.tag) == "list-item"]
+                items = [blocks(i, kind) for i in entries]
+                if kind in ordered:
+                    said = get(entries[0], "start-value") if entries else ""
+                    first = int(said) if said.isdigit() else numbered.get(kind, ordered[kind] - 1) + 1 if get(e, "continue-numbering") == "true" else ordered[kind]
+                    numbered[kind] = first + len(items) - 1
+                    out.append(el("OrderedList", [first, el("Decimal"), el("Period")], items))
+                else:
+                    out.append(el("BulletList", items))
             elif name == "table":
                 heads = [r for h in e if local(h.tag) == "table-header-rows" for r in h]
                 rows = [*heads, *(r for r in e if local(r.tag) == "table-row")]
@@ -624,14 +761,20 @@ def write_odt(doc: dict, media: dict[str, bytes] | None = None) -> bytes:
 
     def inlines(nodes, on=()):
         out = ""
+        plain: list[str] = []  # neighbouring text is one span
+
+        def flush():
+            s = text("".join(plain))
+            plain.clear()
+            return f'<text:span text:style-name="{styles.setdefault(on, f"T{len(styles) + 1}")}">{s}</text:span>' if on and s else s
+
         for n in nodes:
             t, c = n["t"], n.get("c")
             if t in ("Str", "Space", "SoftBreak"):
-                s = text(c) if t == "Str" else " "
-                if on:
-                    s = f'<text:span text:style-name="{styles.setdefault(on, f"T{len(styles) + 1}")}">{s}</text:span>'
-                out += s
-            elif t == "LineBreak":
+                plain.append(c if t == "Str" else " ")
+                continue
+            out += flush() if plain else ""
+            if t == "LineBreak":
                 out += "<text:line-break/>"
             elif t in props:
                 out += inlines(c, tuple(sorted({*on, t})))
@@ -655,7 +798,7 @@ def write_odt(doc: dict, media: dict[str, bytes] | None = None) -> bytes:
                 out += a + inlines(c[1], on) + b
             elif t in ("Span", "Cite", "Image"):
                 out += inlines(c[1], on)
-        return out
+        return out + flush() if plain else out
 
     def p(inner, style="Text_20_body"):
         return f'<text:p text:style-name="{style}">{inner}</text:p>'
@@ -665,7 +808,7 @@ def write_odt(doc: dict, media: dict[str, bytes] | None = None) -> bytes:
         for n in nodes:
             t, c = n["t"], n.get("c")
             if t in ("Para", "Plain"):
-                out += p(inlines(c), style)
+                out += p(inlines(c), "Compact" if t == "Plain" and style == "Text_20_body" else style)
             elif t == "Header":
                 out += f'<text:h text:outline-level="{min(c[0], 10)}">{inlines(c[2])}</text:h>'
             elif t == "CodeBlock":
@@ -674,7 +817,8 @@ def write_odt(doc: dict, media: dict[str, bytes] | None = None) -> bytes:
                 out += blocks(c, "Quotations")
             elif t in ("BulletList", "OrderedList"):
                 items = c if t == "BulletList" else c[1]
-                out += f'<text:list text:style-name="{"L1" if t == "BulletList" else "L2"}">' + "".join(f"<text:list-item>{blocks(i)}</text:list-item>" for i in items) + "</text:list>"
+                start = f' text:start-value="{c[0][0]}"' if t == "OrderedList" and c[0][0] != 1 else ""
+                out += f'<text:list text:style-name="{"L1" if t == "BulletList" else "L2"}">' + "".join(f"<text:list-item{start if k == 0 else ''}>{blocks(i)}</text:list-item>" for k, i in enumerate(items)) + "</text:list>"
             elif t == "HorizontalRule":
                 out += p("", "Horizontal_20_Line")
             elif t == "Table":
@@ -756,6 +900,13 @@ def chapters(blocks: list) -> list[list]:
     return [c for c in out if c]
 
 
+def media_type(data: bytes, name: str) -> str:
+    """The media type that the bytes say; of unknown ones that of the name's ending."""
+    found = inspect(data)
+    kind = found.kind.lower() if found else name.rpartition(".")[2].lower()
+    return "image/" + {"jpg": "jpeg", "svg": "svg+xml", "tif": "tiff"}.get(kind, kind)
+
+
 def write_epub(doc: dict, media: dict[str, bytes] | None = None) -> bytes:
     title = text_of(doc["meta"].get("title", {}).get("c", [])) if doc["meta"].get("title", {}).get("t") == "MetaInlines" else "Untitled"
     parts, items, nav = [], [], []
@@ -768,16 +919,19 @@ def write_epub(doc: dict, media: dict[str, bytes] | None = None) -> bytes:
         nav.append((f"text/{name}", head))
     for u, data in sorted((media or {}).items()):
         parts.append((f"EPUB/{u}", data))
-        items.append((f"m{len(items)}", u, "image/" + u.rpartition(".")[2]))
+        items.append((f"m{len(items)}", u, media_type(data, u)))
     ident = hashlib.sha256(json.dumps(doc, sort_keys=True).encode()).hexdigest()
     uid = f"urn:uuid:{ident[:8]}-{ident[8:12]}-{ident[12:16]}-{ident[16:20]}-{ident[20:32]}"
     manifest = "".join(f'<item id="{i}" href={quoteattr(h)} media-type="{m}"/>' for i, h, m in items)
     spine = "".join(f'<itemref idref="{i}"/>' for i, _, m in items if m.endswith("xhtml+xml"))
     links = "".join(f"<li><a href={quoteattr(h)}>{escape(t)}</a></li>" for h, t in nav)
+    points = "".join(f'<navPoint id="p{n}" playOrder="{n}"><navLabel><text>{escape(t)}</text></navLabel><content src={quoteattr(h)}/></navPoint>' for n, (h, t) in enumerate(nav, 1))
+    authors = "".join(f"<dc:creator>{escape(a)}</dc:creator>" for a in (meta_texts(doc["meta"]["author"]) if "author" in doc["meta"] else []))
     return zipped([
         ("mimetype", "application/epub+zip"),
         ("META-INF/container.xml", f'{_XML}<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="EPUB/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'),
-        ("EPUB/content.opf", f'{_XML}<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{uid}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:language>en</dc:language></metadata><manifest><item id="nav" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/>{manifest}</manifest><spine>{spine}</spine></package>'),
+        ("EPUB/content.opf", f'{_XML}<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{uid}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:language>en</dc:language>{authors}</metadata><manifest><item id="nav" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{manifest}</manifest><spine toc="ncx">{spine}</spine></package>'),
         ("EPUB/nav.xhtml", f'{_XML}<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{escape(title)}</title></head><body><nav epub:type="toc"><ol>{links}</ol></nav></body></html>'),
+        ("EPUB/toc.ncx", f'{_XML}<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{uid}"/></head><docTitle><text>{escape(title)}</text></docTitle><navMap>{points}</navMap></ncx>'),
         *parts,
     ], True)
