@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +29,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: it cuts the lineage and survives lost executors."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch: list[list[str]] = []
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written once to the shared folder and read back, and its path: it cuts the lineage and survives lost executors.
+
+    The shuffle files of the write are dropped when it has ended, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/docloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """stored_at()'s table. Inside scratch() it is deleted at its end, unless keep says that it stays."""
+    out, path = stored_at(df, name)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are stored inside it when it ends: what leaves it must be stored with keep, or collected."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def has_table(spark: SparkSession, path: str) -> bool:

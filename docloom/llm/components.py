@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored
+from docloom.llm.common import delete, stored, stored_at
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -28,21 +28,21 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.pmod(h, F.lit(1 << 28))), F.sum(F.pmod(F.shiftright(h, 28), F.lit(1 << 28)))).first())
 
 
-def component_roots(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of a link: root is the least node that links lead to.
+def component_roots(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) for every node of a link, stored: root is the least node that links lead to.
 
-    Each round is stored in the shared folder, so its lineage stays short and a lost executor costs no earlier round.
-    Self links and repeats are dropped; a table without links gives no rows. Joins on a node with many links are left to
-    adaptive skew splitting; a star's rows are as many as its links.
+    Each round is stored in the shared folder, so its lineage stays short and a lost executor costs no earlier round;
+    the round before is deleted then. Rounds go on until one changes nothing, which takes about the logarithm of the
+    longest path. Self links and repeats are dropped; a table without links gives no rows. Joins on a node with many
+    links are left to adaptive skew splitting; a star's rows are as many as its links.
     """
-    edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    edges = stored(edges, "links")
-    seen = _digest(edges)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges = stored(_small(_large(edges)), "links")
-        if (now := _digest(edges)) == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = now
-    raise RuntimeError("components did not settle")
+    edges, path = stored_at(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
+    seen = None
+    while (now := _digest(edges)) != seen and now[0]:
+        after, fresh = stored_at(_small(_large(edges)), "links")
+        delete(links.sparkSession, path)
+        edges, path, seen = after, fresh, now
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    out = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), "roots")
+    delete(links.sparkSession, path)
+    return out
