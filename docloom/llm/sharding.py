@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,10 +34,16 @@ def key_of(value: Column, group: Column, row: Column) -> Column:
     return F.shiftleft(value.cast("long"), 40) + F.shiftleft(bits(group), 20) + bits(row)
 
 
+def _nodes(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A row per node of the tree, as a broadcast table: as many as there are shards at most, whatever df's size."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return F.broadcast(df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ",")))))
+
+
 def _known(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """df joined on node with a row per node of the tree: as many as there are shards at most, whatever df's size."""
-    table = df.sparkSession.createDataFrame(rows, ", ".join(filter(None, ["node int", schema])))
-    return df.join(F.broadcast(table), "node")
+    """df joined on node with a row for each of some nodes."""
+    return df.join(_nodes(df, rows, schema), "node")
 
 
 def _key(dims: tuple[str, ...]) -> Column:
@@ -48,8 +55,7 @@ def _descended(points: DataFrame, levels: list[list[Node]], dims: tuple[str, ...
     found = points.withColumn("node", F.lit(0))
     for cut in levels:
         rows = [(n.first, dims.index(n.cut[0]) + 1, n.cut[1], n.kids[1].first) for n in cut]
-        table = points.sparkSession.createDataFrame(rows, "node int, dim int, at long, right int")
-        found = found.join(F.broadcast(table), "node", "left").withColumn("node", F.when(_key(dims) >= F.col("at"), F.col("right")).otherwise(F.col("node"))).drop("dim", "at", "right")
+        found = found.join(_nodes(points, rows, "node int, dim int, at long, right int"), "node", "left").withColumn("node", F.when(_key(dims) >= F.col("at"), F.col("right")).otherwise(F.col("node"))).drop("dim", "at", "right")
     return found
 
 
@@ -68,7 +74,7 @@ def build(points: DataFrame, shards: int, dims: tuple[str, ...] = DIMS, slack: f
     while todo:
         at = _descended(points, levels, dims)
         spread = [f(F.shiftright(d, 40)).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
-        ranges = {r["node"]: r for r in _known(at, [(n.first,) for n in todo], "").groupBy("node").agg(F.sum("size").alias("w"), *spread).collect()}
+        ranges = {r["node"]: r for r in _known(at, [(n.first,) for n in todo], "node int").groupBy("node").agg(F.sum("size").alias("w"), *spread).collect()}
         wide = lambda r, d: r[f"hi_{d}"] - r[f"lo_{d}"]
         spans = spans or {d: max(1, wide(ranges[0], d)) if 0 in ranges else 1 for d in dims}
         total = sum(r["w"] for r in ranges.values())
@@ -83,7 +89,7 @@ def build(points: DataFrame, shards: int, dims: tuple[str, ...] = DIMS, slack: f
             if not left:
                 break
             shift = DIGIT * (DIGITS - 1 - digit)
-            keyed = _known(at, left, "dim int, prefix long, goal double").withColumn("key", _key(dims)).where(F.shiftright("key", shift + DIGIT) == F.col("prefix"))
+            keyed = _known(at, left, "node int, dim int, prefix long, goal double").withColumn("key", _key(dims)).where(F.shiftright("key", shift + DIGIT) == F.col("prefix"))
             hist = keyed.groupBy("node", F.shiftright("key", shift).alias("digit")).agg(F.sum("size").alias("w"), F.first("goal").alias("goal"))
             upto = hist.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("digit")))
             for r in upto.where("upto >= goal").groupBy("node").agg(F.min_by(F.struct("digit", "w", "upto"), "digit").alias("m")).collect():
