@@ -25,7 +25,7 @@ RANGES = 8  # of ids, per partition
 
 
 def with_spots(df: DataFrame, text_col: str, name: str, chain: int = CHAIN) -> DataFrame:
-    """df with column `name`: the distinct spot signatures of a text as a sorted array of 32-bit hashes.
+    """df with column `name`: the distinct spot signatures of a text as a sorted array of 32-bit hashes in hex.
 
     Words are runs of letters and digits in lower case; null text counts as empty. A spot is the chain of the next
     `chain` words that aren't common after a common word; common words between them are left out. In a stretch of words
@@ -42,7 +42,8 @@ def with_spots(df: DataFrame, text_col: str, name: str, chain: int = CHAIN) -> D
     found = F.regexp_extract_all(marked, F.lit(spot), F.lit(1))
     whole = F.array(F.array_join(t[0], " "))
     df = df.withColumn(t[0], words).withColumn(t[1], found)
-    df = df.withColumn(t[2], F.when(F.size(t[1]) > 0, F.transform(t[1], lambda c: F.hash(F.replace(c, F.lit(_MARK + " "), F.lit(""))))).when(F.size(t[0]) >= chain, F.transform(runs, lambda c: F.hash(c))).otherwise(F.transform(whole, lambda c: F.hash(c))))
+    marks = lambda c: F.substring(F.md5(c), 1, 8)
+    df = df.withColumn(t[2], F.when(F.size(t[1]) > 0, F.transform(t[1], lambda c: marks(F.replace(c, F.lit(_MARK + " "), F.lit(""))))).when(F.size(t[0]) >= chain, F.transform(runs, marks)).otherwise(F.transform(whole, marks)))
     return df.withColumn(name, F.array_sort(F.array_distinct(t[2]))).drop(*t)
 
 
