@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 API_VERSION = [1, 23, 1]
 LEAVES = frozenset(("Str", "Space", "SoftBreak", "LineBreak", "Code", "Math", "CodeBlock", "RawBlock", "RawInline", "HorizontalRule", "Null"))
 
 
+_TOKEN = re.compile(r"[ \t\r\n]+|[^ \t\r\n]+")
+
+
 class DocumentError(ValueError):
     """A document that can't be read; it becomes a row's error, never a failed job."""
 
@@ -33,19 +37,7 @@ def dumps(doc: dict) -> str:
 
 def words(text: str, newline: str = "SoftBreak") -> list:
     """Str, Space and SoftBreak nodes of running text; a run of white space with a line end is one SoftBreak."""
-    out, at = [], 0
-    while at < len(text):
-        end = at
-        if text[at] in " \t\r\n":
-            while end < len(text) and text[end] in " \t\r\n":
-                end += 1
-            out.append(el(newline) if "\n" in text[at:end] else el("Space"))
-        else:
-            while end < len(text) and text[end] not in " \t\r\n":
-                end += 1
-            out.append(el("Str", text[at:end]))
-        at = end
-    return out
+    return [{"t": "Str", "c": t} if t[0] not in " \t\r\n" else {"t": newline if "\n" in t else "Space"} for t in _TOKEN.findall(text)]
 
 
 def cells_of(table: list) -> Iterator[tuple[str, int, list]]:
@@ -148,11 +140,18 @@ def depth(nodes: list) -> int:
 def merge(nodes: list) -> list:
     """Joins neighbouring Str nodes."""
     out: list = []
+    last = None  # the Str that out ends with
     for n in nodes:
-        if n["t"] == "Str" and out and out[-1]["t"] == "Str":
-            out[-1] = el("Str", out[-1]["c"] + n["c"])
-        elif n["t"] != "Str" or n["c"]:
-            out.append(n)
+        if n["t"] != "Str":
+            last = None
+        elif last is not None:
+            last = out[-1] = {"t": "Str", "c": last["c"] + n["c"]}
+            continue
+        elif not n["c"]:
+            continue
+        else:
+            last = n
+        out.append(n)
     return out
 
 
@@ -162,6 +161,9 @@ LAYERS = ("Emph", "Strong", "SmallCaps", "Strikeout", "Underline")
 def relayered(nodes: list) -> list:
     """Neighbours that share formatting are wrapped once: of the wrappers at a place the one that reaches furthest is
     the outermost. Office formats store every run with all of its formatting, so without this wrappers would repeat."""
+    if not any(n["t"] in LAYERS for n in nodes):
+        return merge(nodes)
+
     def flat(ns, on):
         for n in ns:
             if n["t"] in LAYERS:

@@ -62,7 +62,24 @@ class Writer:
         return [s for n in nodes if (s := getattr(self, "b_" + n["t"].lower())(n.get("c"))) is not None]
 
     def inlines(self, nodes: list) -> str:
-        return "".join(getattr(self, "i_" + n["t"].lower())(n.get("c")) for n in nodes)
+        """Words, blanks and soft line ends that follow each other are one text for i_str: no escape depends on where a word ends."""
+        out, text, space, soft = [], [], self.i_space(None), self.i_softbreak(None)
+        for n in nodes:
+            t = n["t"]
+            if t == "Str":
+                text.append(n["c"])
+            elif t == "Space":
+                text.append(space)
+            elif t == "SoftBreak":
+                text.append(soft)
+            else:
+                if text:
+                    out.append(self.i_str("".join(text)))
+                    text = []
+                out.append(getattr(self, "i_" + t.lower())(n.get("c")))
+        if text:
+            out.append(self.i_str("".join(text)))
+        return "".join(out)
 
     def i_space(self, c):
         return " "

@@ -484,6 +484,8 @@ class Run:
 
 def inlines_of(text: str, state: State) -> list:
     """Nodes of a paragraph's text."""
+    if not state.dialect.bare_links and _plain_run(state.dialect.name).fullmatch(text):
+        return trim(plain_nodes(text))
     return spaced(parse_inlines(text, state))
 
 
@@ -505,6 +507,11 @@ _TOKEN = re.compile("[^ \\n]+|[ \\n]+")
 _GAPS = {" ": "Space", "\n": "SoftBreak"}
 
 
+def plain_nodes(text: str) -> list:
+    """Nodes of text without marks."""
+    return [{"t": kind} if (kind := _GAPS.get(t)) else {"t": "Str", "c": t} if t[0] not in " \n" else gap_of(t) for t in _TOKEN.findall(text)]
+
+
 def gap_of(gap: str) -> dict:
     """The node of a run of blanks and line ends: two blanks before a line end make it hard."""
     return {"t": "LineBreak" if "\n" in gap and gap.startswith("  ") else "SoftBreak" if "\n" in gap else "Space"}
@@ -526,7 +533,7 @@ def parse_inlines(text: str, state: State) -> list:
     while i < n:
         c = text[i]
         if m := plain.match(text, i):
-            out += [{"t": kind} if (kind := _GAPS.get(t)) else {"t": "Str", "c": t} if t[0] not in " \n" else gap_of(t) for t in _TOKEN.findall(m[0])]
+            out += plain_nodes(m[0])
             i = m.end()
             if i == n and out[-1]["t"] == "LineBreak":
                 out[-1] = el("SoftBreak")
@@ -595,7 +602,7 @@ def parse_inlines(text: str, state: State) -> list:
         else:
             out.append(el("Str", c))
             i += 1
-    nodes = emphasis([el("Str", "![" if x[1] else "[") if isinstance(x, list) else x for x in out])
+    nodes = emphasis([el("Str", "![" if x[1] else "[") if type(x) is list else x for x in out])
     return with_bare_links(nodes, d) if d.bare_links else nodes
 
 
