@@ -13,7 +13,7 @@ from docloom.llm.common import arrow_append, arrow_map, stored
 
 _WORD = regex.compile(r"\p{L}+")
 LONGEST, UNKNOWN = 5, "und"
-_KEPT = 1 << 20  # numbers kept for unseen words
+_KEPT, _WRITTEN = 1 << 20, 1 << 24  # numbers kept for unseen words, and for all grams written out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -47,21 +47,28 @@ class Model:
         self.base = np.log(0.5 / (totals + 1.5))
         # what a count adds to the base, and each row's greatest value, by which it is lowered
         self.more = np.log(counts + 0.5) - np.log(0.5)
-        self.top = np.empty(len(sizes))
-        for i, n in enumerate(sizes.tolist()):
-            self.top[i] = self._row(i, n).max()
+        self.sizes = sizes
+        step = max(1, _WRITTEN // max(1, len(langs)))
+        self.top = np.concatenate([np.empty(0), *(self._rows(at, at + step).max(axis=1) for at in range(0, len(sizes), step))])
         self._reset()
 
-    def _row(self, i: int, n: int) -> np.ndarray:
-        row = self.base[n].copy()
-        part = slice(self.starts[i], self.starts[i + 1])
-        row[self.lang[part]] += self.more[part]
-        return row
+    def _rows(self, lo: int, hi: int) -> np.ndarray:
+        """The rows lo to hi, written out: a gram's log frequency in each language."""
+        hi = min(hi, len(self.sizes))
+        out = self.base[self.sizes[lo:hi]]
+        part = slice(self.starts[lo], self.starts[hi])
+        out[np.repeat(np.arange(hi - lo), np.diff(self.starts[lo : hi + 1])), self.lang[part]] += self.more[part]
+        return out
 
     def _reset(self) -> None:
-        """Forgets the rows of unseen words."""
-        self.unseen: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.langs)))
+        """Forgets the rows of unseen words. With few languages all grams' rows are written out, which sums faster."""
+        words, width = len(self.grams[0]), len(self.langs)
+        self.dense = None
+        if len(self.top) * width <= _WRITTEN:
+            self.dense = self._rows(0, len(self.top)) - self.top[:, None]
+        kept = words if self.dense is not None else 0
+        self.places, self.used = dict(self.grams[0]) if kept else {}, kept
+        self.rows = np.vstack([self.dense[:kept] if kept else np.zeros((0, width)), np.zeros((1024, width))])
 
     def backoff(self, word: str) -> np.ndarray:
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
@@ -74,6 +81,8 @@ class Model:
 
     def summed(self, found: np.ndarray, n: int) -> np.ndarray:
         """The sum of the rows of some grams of one length, each lowered by its greatest value."""
+        if self.dense is not None:
+            return self.dense[found].sum(axis=0)
         lo = self.starts[found]
         count = self.starts[found + 1] - lo
         ends = np.cumsum(count)
@@ -81,35 +90,34 @@ class Model:
         return self.base[n] * len(found) + np.bincount(self.lang[at], weights=self.more[at], minlength=len(self.langs)) - self.top[found].sum()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("unseen", "rows")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "places", "used", "rows")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._reset()
 
     def place(self, word: str) -> int:
-        at = self.unseen[word] = len(self.unseen)
+        at = self.used
         if at == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.backoff(word)
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows[: max(1024, at // 2)])])
+        self.rows[at], self.places[word] = self.backoff(word), at
+        self.used += 1
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.unseen) > _KEPT // len(self.langs):
+        known, get, place = self.grams[0], self.places.get, self.place
+        if (len(self.places) - len(known) * (self.dense is not None)) * len(self.langs) > _KEPT:
             self._reset()
-        known, get, place = self.grams[0].get, self.unseen.get, self.place
-        old, new = [], []
-        for w in words:
-            if (i := known(w)) is not None:
-                old.append(i)
-            else:
-                new.append(i if (i := get(w)) is not None else place(w))
-        total = self.summed(np.array(old), 0) if old else np.zeros(len(self.langs))
-        if new:
-            total = total + self.rows[new].sum(axis=0)
+        if self.dense is not None:
+            idx = [i if (i := get(w)) is not None else place(w) for w in words]
+            total = self.rows[idx].sum(axis=0)
+        else:
+            old = [i for w in words if (i := known.get(w)) is not None]
+            new = [i if (i := get(w)) is not None else place(w) for w in words if w not in known]
+            total = (self.summed(np.array(old), 0) if old else 0) + (self.rows[new].sum(axis=0) if new else 0)
         mean = total / len(words)
         odds = np.exp((mean - mean.max()) * min(len(words), 25))
         best = int(mean.argmax())
