@@ -236,3 +236,36 @@ def commonmark_sections(spark, sf_dir):
     return cases.join(out, "doc_id").groupBy("section").agg(
         F.count_if(F.col("output").eqNullSafe(F.col("expected"))).alias("matched"), F.count("*").alias("total"), F.round(F.avg(F.col("output").eqNullSafe(F.col("expected")).cast("double")) * 100, 2).alias("percent")
     )
+
+
+@query("""
+SELECT p_partkey AS doc_id, t.tag, t.id, t.url, t.text FROM part, LATERAL (VALUES
+  ('Note', NULL, NULL, 'note ' || p_partkey), ('Link', '', '#gone', 'see'), ('Span', 'i' || p_partkey, NULL, 'item'), ('Div', 'j' || p_partkey, NULL, 'long item'),
+  ('Image', '', 'data:image/svg+xml;base64,' || to_base64(encode('<svg width="' || p_size || '"></svg>')), '')) t(tag, id, url, text)
+""")
+def html_parts(spark, sf_dir):
+    """Main content by its role, notes and their references, ids of list items, and drawings in the text."""
+    part = table(spark, sf_dir, "part")
+    page = F.lit("""<p>before</p><div role="main"><p>T<a href="#n{k}" role="doc-noteref">1</a> <a href="#gone" role="doc-noteref">see</a></p>
+<ul><li id="i{k}">item</li><li id="j{k}"><p>long item</p></li></ul><p><svg width="{s}"></svg></p></div>
+<section role="doc-endnotes"><ol><li id="n{k}"><p>note {k} <a href="#r" role="doc-backlink">back</a></p></li></ol></section>""")
+    for name, value in (("k", F.col("p_partkey")), ("s", F.col("p_size"))):
+        page = F.replace(page, F.lit("{" + name + "}"), value.cast("string"))
+    nodes = doc.nodes(doc.Source(part.select(F.col("p_partkey").alias("doc_id"), page.alias("content")), "html"))
+    out = None
+    for tag in ("Note", "Link", "Span", "Div", "Image"):
+        own = nodes.where(F.col("tag") == tag).select("doc_id", "pre", "tag", "id", "url")
+        texts = rel.subtree_text(nodes, tag).join(own, ["doc_id", "pre"]).select("doc_id", "tag", "id", "url", F.trim("text").alias("text"))
+        out = texts if out is None else out.unionByName(texts)
+    return out
+
+
+@query("""
+SELECT p_partkey AS doc_id, 0 AS "table", col::INT AS col, CASE col WHEN 0 THEN p_size % 100 / 100.0::DOUBLE ELSE (100 - p_size % 100) / 100.0::DOUBLE END AS share FROM part, (VALUES (0), (1)) c(col)
+""")
+def html_widths(spark, sf_dir):
+    """Column widths of tables."""
+    part = table(spark, sf_dir, "part")
+    size = (F.col("p_size") % 100).cast("string")
+    page = F.concat(F.lit('<table><col style="width: '), size, F.lit('%"><col width="'), (100 - F.col("p_size") % 100).cast("string"), F.lit('%"><tr><td>a</td><td>b</td></tr></table>'))
+    return doc.columns(doc.Source(part.select(F.col("p_partkey").alias("doc_id"), page.alias("content")), "html")).select("doc_id", "table", "col", F.round("width", 4).alias("share"))

@@ -33,9 +33,9 @@ def spread(df: DataFrame) -> DataFrame:
     """df dealt over the cores if its files make fewer scan tasks with rows than there are cores.
 
     A Parquet file of one row group is one task's work, whatever the split size. Only tables of so few files are dealt
-    anew (their rows move once); larger ones, streams and tables made by a shuffle stay as they are.
+    anew (their rows move once); larger ones, streams and what was dealt before stay as they are.
     """
-    if df.isStreaming:
+    if df.isStreaming or "Repartition" in df._jdf.queryExecution().logical().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = df.inputFiles()

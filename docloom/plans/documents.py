@@ -253,6 +253,17 @@ def cells(asts: DataFrame | Source) -> DataFrame:
     return _of_trees(asts, rows, "table int, section string, row int, col int, row_span int, col_span int, align string, text string")
 
 
+def columns(asts: DataFrame | Source) -> DataFrame:
+    """(doc_id, table, col, align, width) of all tables' columns; width is a share of the line, null where none is given."""
+
+    def rows(doc):
+        for t, table in enumerate(n["c"] for n in ast.walk(doc["blocks"]) if n["t"] == "Table"):
+            for i, (align, width) in enumerate(table[2]):
+                yield t, i, align["t"], width.get("c")
+
+    return _of_trees(asts, rows, "table int, col int, align string, width double")
+
+
 def metadata(asts: DataFrame | Source) -> DataFrame:
     """(doc_id, key, ord, value) of all metadata, as text."""
     from docloom.operators.writers import meta_texts

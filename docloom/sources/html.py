@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import html
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -37,9 +39,22 @@ class Element:
                     yield k
                 yield from k.find(name)
 
+    def all(self):
+        """Elements below, in document order."""
+        for k in self.kids:
+            if isinstance(k, Element):
+                yield k
+                yield from k.all()
+
     def text(self) -> str:
         return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
 
+    def markup(self) -> str:
+        """The element as XML."""
+        given = "".join(f' {k}="{html.escape(v)}"' for k, v in self.attrs.items())
+        inner = "".join(html.escape(k, False) if isinstance(k, str) else k.markup() for k in self.kids)
+        return f"<{self.name}{given}>{inner}</{self.name}>"
+
 
 class Builder(HTMLParser):
     def __init__(self):
@@ -107,9 +122,24 @@ def hoisted(kind: str, inner: list) -> list:
     return [*inner[:start], *([el(kind, inner[start:stop])] if stop > start else []), *inner[stop:]]
 
 
+NOTES = "doc-endnotes"  # the role of what holds a page's notes
+
+
+def goes_back(e: Element) -> bool:
+    """Whether an element is the link from a note to its reference."""
+    return e.attrs.get("role") == "doc-backlink" or "footnote-back" in e.attrs.get("class", "").split()
+
+
 class Reader:
-    def __init__(self, ids: bool):
+    def __init__(self, ids: bool, notes: dict[str, Element] | None = None):
         self.ids, self.taken, self.quotes = ids, {}, 0
+        self.notes, self.inside = notes or {}, False
+
+    def note(self, name: str) -> dict:
+        """The Note of a reference. Its body is read on its own; references inside it stay links."""
+        other = Reader(self.ids)
+        other.inside = True
+        return el("Note", other.blocks(self.notes[name].kids, "Plain"))
 
     def inlines(self, nodes: list) -> list:
         out: list = []
@@ -145,6 +175,12 @@ class Reader:
         if name in ("abbr", "dfn", "kbd", "mark", "small"):
             a = attributes(e)
             return [el("Span", [a[0], [name, *a[1]], a[2]], self.inlines(e.kids))]
+        if self.inside and goes_back(e):
+            return []
+        if name == "a" and e.attrs.get("role") == "doc-noteref" and e.attrs.get("href", "")[1:] in self.notes:
+            return [self.note(e.attrs["href"][1:])]
+        if name == "svg":
+            return [el("Image", attr(), [], ["data:image/svg+xml;base64," + base64.b64encode(e.markup().encode()).decode(), ""])]
         if name == "a":
             if "href" in e.attrs:
                 return [el("Link", attributes(e, ("href", "title")), self.inlines(e.kids), [e.attrs["href"], e.attrs.get("title", "")])]
@@ -192,6 +228,8 @@ class Reader:
 
     def block(self, e: Element) -> list:
         name = e.name
+        if e.attrs.get("role") == NOTES and not self.inside:
+            return []
         if name == "p":
             inner = trim(self.inlines(e.kids))
             return [el("Para", inner)] if inner else []
@@ -232,12 +270,21 @@ class Reader:
             caption = next((k for k in e.kids if isinstance(k, Element) and k.name == "figcaption"), None)
             return [el("Figure", attributes(e), [None, self.blocks(caption.kids, "Plain") if caption else []], self.blocks([k for k in e.kids if k is not caption], "Plain"))]
         if name in ("div", "header", "section", "main"):
-            a = attributes(e)
-            return [el("Div", [a[0], ["section", *a[1]] if name == "section" else a[1], a[2]], self.blocks(e.kids, "Plain"))]
+            a, inner = attributes(e), self.blocks(e.kids, "Plain")
+            if a[0] and inner and inner[0]["t"] == "Header" and inner[0]["c"][1][0] == a[0]:
+                inner[0]["c"][1][0] = ""  # the section has it
+            return [el("Div", [a[0], ["section", *a[1]] if name == "section" else a[1], a[2]], inner)]
         return self.blocks(e.kids)
 
     def item(self, e: Element) -> list:
-        return self.blocks(e.kids, "Plain") if e.name == "li" else self.block(e) if e.name in BLOCKS else self.blocks([e], "Plain")
+        if e.name != "li":
+            return self.block(e) if e.name in BLOCKS else self.blocks([e], "Plain")
+        inner = self.blocks(e.kids, "Plain")
+        if "id" not in e.attrs:
+            return inner
+        # links aim at an item by its id, so what it holds carries it
+        a = attr(e.attrs["id"])
+        return [el("Plain", [el("Span", a, inner[0]["c"])])] if [b["t"] for b in inner] == ["Plain"] else [el("Div", a, inner)]
 
     def table(self, e: Element) -> list:
         sections: dict[str, list] = {"head": [], "body": [], "foot": []}
@@ -268,7 +315,10 @@ class Reader:
         aligns = (aligns + ["AlignDefault"] * width)[:width]
         cell = lambda c: [attributes(c, ("colspan", "rowspan", "style", "align")), el("AlignDefault"), number(c, "rowspan"), number(c, "colspan"), self.blocks(c.kids, "Plain")]
         rows = {s: [[attr(), [cell(c) for c in r]] for r in rows] for s, rows in sections.items()}
-        return [el("Table", attributes(e), [None, caption], [[el(a), el("ColWidthDefault")] for a in aligns], [attr(), rows["head"]], [[attr(), 0, [], rows["body"]]], [attr(), rows["foot"]])]
+        shares = [re.search(r"width:\s*([\d.]+)%", c.attrs.get("style", "")) or re.fullmatch(r"([\d.]+)%", c.attrs.get("width", "")) for c in e.find("col")]
+        widths = [el("ColWidth", float(m[1]) / 100) if m else el("ColWidthDefault") for m in shares[:width]]
+        widths += [el("ColWidthDefault")] * (width - len(widths))
+        return [el("Table", attributes(e), [None, caption], [[el(a), w] for a, w in zip(aligns, widths)], [attr(), rows["head"]], [[attr(), 0, [], rows["body"]]], [attr(), rows["foot"]])]
 
     def unique(self, base: str) -> str:
         n = self.taken.get(base, 0)
@@ -287,7 +337,9 @@ def read_html(text: str, ids: bool = True) -> dict:
     """The document of a page: its main element if it has one, with title, language and named metadata."""
     try:
         root = tree(text)
-        reader, meta = Reader(ids), {}
+        holders = [e for e in root.all() if e.attrs.get("role") == NOTES]
+        notes = {e.attrs["id"]: e for h in holders for e in h.all() if e.attrs.get("id")}
+        reader, meta = Reader(ids, notes), {}
         add = lambda k, v: meta.update({k: el("MetaList", [*meta[k]["c"], v]) if k in meta and meta[k]["t"] == "MetaList" else el("MetaList", [meta[k], v]) if k in meta else v})
         if root.attrs.get("lang"):
             add("lang", el("MetaInlines", [el("Str", root.attrs["lang"])]))
@@ -297,7 +349,7 @@ def read_html(text: str, ids: bool = True) -> dict:
         for m in root.find("meta"):
             if m.attrs.get("name") and "content" in m.attrs:
                 add(m.attrs["name"], el("MetaInlines", trim(words(m.attrs["content"]))))
-        main = next((e for e in [*root.find("main")]), None)
+        main = next((e for e in root.all() if e.name == "main" or e.attrs.get("role") == "main"), None)
         return document(reader.blocks(main.kids if main else root.kids, "Plain" if main else "Para"), meta)
     except RecursionError:
         raise DocumentError("nested too deeply") from None
