@@ -584,6 +584,28 @@ def test_edit_report_follows_ids(spark, docs, empty):
     assert spotsigs.edit_report(table(spark, [(1, "the house stands", "en", "a")])).first().near_next == 1.0
 
 
+def test_edit_report_of_nulls_and_long_texts(spark):
+    rows = [(None, "the house of stone"), (5, None), (6, ""), (7, "é" * 9), (8, LONG), (8, LONG)]
+    want = []
+    for at, (i, t) in enumerate(rows):
+        t, u = t or "", rows[(at + 1) % len(rows)][1] or ""
+        n = len(t) // 4
+        want.append((i or 0, len(t), hashlib.sha256((t[: len(t) - n] + u[:n]).encode()).hexdigest()))
+    df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, spots string, r int")
+    assert sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in spotsigs.edit_report(df, parts=3).collect()) == sorted(want)
+
+
+def test_similar_of_nulls_repeats_and_nothing(spark):
+    kind = "doc_id long, text string, band int, class_id string"
+    rows = [(None, "the house of stone"), (3, "the house of stone"), (3, "the house of stone"), (4, None), (5, "")]
+    members, pairs = spotsigs.similar(spotsigs.fingerprints(spark.createDataFrame([(i, t, 1, "c") for i, t in rows], kind)))
+    got = members.collect()
+    assert len(got) == 5 and pairs.count() == 0 and {r.links for r in got} == {0}
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 3), (3, 3), (3, 3), (4, 4), (5, 4)]
+    members, pairs = spotsigs.similar(spotsigs.fingerprints(spark.createDataFrame([], kind)))
+    assert members.count() == 0 and pairs.count() == 0
+
+
 def test_similar_spot_sets_against_all_pairs(spark):
     rng = random.Random(9)
     base = [[f"w{rng.randrange(4000)}" for _ in range(90)] for _ in range(6)]
