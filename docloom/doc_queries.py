@@ -269,3 +269,27 @@ def html_widths(spark, sf_dir):
     size = (F.col("p_size") % 100).cast("string")
     page = F.concat(F.lit('<table><col style="width: '), size, F.lit('%"><col width="'), (100 - F.col("p_size") % 100).cast("string"), F.lit('%"><tr><td>a</td><td>b</td></tr></table>'))
     return doc.columns(doc.Source(part.select(F.col("p_partkey").alias("doc_id"), page.alias("content")), "html")).select("doc_id", "table", "col", F.round("width", 4).alias("share"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, 'k' || p_size AS kernel, 'print(' || p_partkey || ')' AS source, 'out ' || p_partkey AS stream, to_base64(encode(p_name)) AS png, 'b' || p_size AS json, 'E' || p_size AS ename, 'line 1|line ' || p_partkey AS trace,
+  'see ![i](attachment:a.png) ' || p_partkey AS note, to_base64(encode(p_brand)) AS attached FROM part
+""")
+def notebook_round_trip(spark, sf_dir):
+    """Notebooks read and written again: outputs of each kind, attachments and metadata stay."""
+    part = table(spark, sf_dir, "part")
+    text = F.lit("""{"cells": [{"cell_type": "code", "id": "c1", "execution_count": 3, "source": ["print({k})"], "outputs": [
+ {"output_type": "stream", "name": "stdout", "text": ["out {k}"]}, {"output_type": "display_data", "data": {"image/png": "{png}", "text/plain": "x"}, "metadata": {}},
+ {"output_type": "execute_result", "execution_count": 3, "data": {"application/json": {"a": "b{s}"}}, "metadata": {}}, {"output_type": "error", "ename": "E{s}", "evalue": "v", "traceback": ["line 1", "line {k}"]}]},
+ {"cell_type": "markdown", "id": "m1", "source": "see ![i](attachment:a.png) {k}", "attachments": {"a.png": {"image/png": "{brand}"}}}], "metadata": {"kernelspec": {"language": "k{s}"}}, "nbformat": 4}""")
+    coded = lambda c: F.regexp_replace(F.base64(F.col(c).cast("binary")), "\r\n", "")
+    for name, value in (("png", coded("p_name")), ("brand", coded("p_brand")), ("k", F.col("p_partkey").cast("string")), ("s", F.col("p_size").cast("string"))):
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    again = doc.convert(part.select(F.col("p_partkey").alias("doc_id"), text.alias("content")), "ipynb", "ipynb")
+    at = lambda path: F.get_json_object("output", path)
+    o = "$.cells[0].outputs"
+    joined = lambda path, by: F.array_join(F.from_json(at(path), "array<string>"), by)
+    return again.select(
+        "doc_id", at("$.metadata.kernelspec.language").alias("kernel"), joined("$.cells[0].source", "").alias("source"), joined(f"{o}[0].text", "").alias("stream"), at(f"{o}[1].data['image/png']").alias("png"),
+        at(f"{o}[2].data['application/json'].a").alias("json"), at(f"{o}[3].ename").alias("ename"), joined(f"{o}[3].traceback", "|").alias("trace"), joined("$.cells[1].source", "").alias("note"), at("$.cells[1].attachments['a.png']['image/png']").alias("attached"),
+    )

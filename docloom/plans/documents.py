@@ -22,7 +22,7 @@ from docloom.sources.html import read_html
 from docloom.sources.markdown import DIALECTS, read_markdown
 
 BATCH_BYTES, OUT_ROWS = 8 << 20, 20_000
-PACKAGES = {"docx": (packages.read_docx, packages.write_docx), "odt": (packages.read_odt, packages.write_odt), "epub": (packages.read_epub, packages.write_epub), "ipynb": (packages.read_notebook, lambda doc, media=None: packages.write_notebook(doc))}
+PACKAGES = {"docx": (packages.read_docx, packages.write_docx), "odt": (packages.read_odt, packages.write_odt), "epub": (packages.read_epub, packages.write_epub), "ipynb": (packages.read_notebook, packages.write_notebook)}
 READABLE = (*DIALECTS, "html", "json", *PACKAGES)
 WRITABLE = (*WRITERS, "json", *PACKAGES)
 

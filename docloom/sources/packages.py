@@ -99,6 +99,9 @@ def read_notebook(data: bytes) -> tuple[dict, dict[str, bytes]]:
                 for value in bundle.values():
                     media[f"attachment:{n}/{name}"] = base64.b64decode(joined(value))
             inner = read_markdown(source, "markdown")["blocks"]
+            for x in walk(inner):
+                if x["t"] == "Image" and x["c"][2][0].startswith("attachment:"):
+                    x["c"][2][0] = f"attachment:{n}/{x['c'][2][0][11:]}"
             out.append(el("Div", head("markdown"), inner))
         elif kind == "code":
             inner = [el("CodeBlock", attr("", [lang]), source)]
@@ -135,20 +138,54 @@ def output(o: dict, media: dict, joined) -> list:
     return [el("Div", attr("", ["output", kind]), inner)]
 
 
-def write_notebook(doc: dict) -> bytes:
-    """nbformat 4.5: Divs of class cell become cells; other blocks become markdown cells."""
-    cells = []
+def written_output(o: dict, media: dict[str, bytes], count: int | None) -> dict | None:
+    """A cell's output of its Div; None of a block that is none."""
+    if o["t"] != "Div" or "output" not in o["c"][0][1]:
+        return None
+    (_, classes, pairs), inner = o["c"]
+    kind, lines = classes[1] if len(classes) > 1 else "display_data", lambda x: x.splitlines(keepends=True)
+    if kind == "stream":
+        return {"output_type": "stream", "name": classes[-1], "text": lines(text_of(inner))}
+    if kind == "error":
+        said = dict(map(tuple, pairs))
+        return {"output_type": "error", "ename": said.get("ename", ""), "evalue": said.get("evalue", ""), "traceback": text_of(inner).split("\n")}
+    block, data = inner[0] if inner else el("Para", []), {}
+    image = block["c"][0]["c"][2][0] if lone_image(block) else ""
+    if image in media:
+        ext = image.rpartition(".")[2]
+        data[f"image/{ext}" + "+xml" * (ext == "svg")] = media[image].decode("utf-8", "replace") if ext == "svg" else base64.b64encode(media[image]).decode()
+    elif block["t"] == "RawBlock":
+        data[f"text/{block['c'][0]}"] = lines(block["c"][1])
+    elif block["t"] == "CodeBlock" and block["c"][0][1] == ["json"]:
+        data["application/json"] = json.loads(block["c"][1])
+    else:
+        data["text/plain"] = lines(text_of(inner))
+    return {"output_type": kind, "data": data, "metadata": {}} | ({"execution_count": count} if kind == "execute_result" else {})
+
+
+def write_notebook(doc: dict, media: dict[str, bytes] | None = None) -> bytes:
+    """nbformat 4.5: Divs of class cell become cells, with outputs, attachments and the metadata of the notebook that was
+    read; other blocks become markdown cells."""
+    cells, media = [], media or {}
 
     def add(kind, source, ident="", **more):
         ident = ident or hashlib.sha1(f"{len(cells)}:{source}".encode()).hexdigest()[:8]
-        lines = source.splitlines(keepends=True)
-        cells.append({"cell_type": kind, "id": ident, "metadata": {}, **more, "source": lines})
+        cells.append({"cell_type": kind, "id": ident, "metadata": {}, **more, "source": source.splitlines(keepends=True)})
+
+    def markdown(blocks, ident=""):
+        attached: dict = {}
+        for x in walk(blocks):
+            if x["t"] == "Image" and x["c"][2][0] in media and x["c"][2][0].startswith("attachment:"):
+                name = x["c"][2][0].partition("/")[2]
+                attached[name] = {media_type(media[x["c"][2][0]], name): base64.b64encode(media[x["c"][2][0]]).decode()}
+                x["c"][2][0] = "attachment:" + name
+        add("markdown", write_text(document(blocks), "gfm").rstrip("\n"), ident, **({"attachments": attached} if attached else {}))
 
     loose: list = []
     for b in [*doc["blocks"], None]:
         cell = b is not None and b["t"] == "Div" and "cell" in b["c"][0][1]
         if (cell or b is None) and loose:
-            add("markdown", write_text(document(loose), "gfm").rstrip("\n"))
+            markdown(loose)
             loose = []
         if b is None:
             break
@@ -157,19 +194,20 @@ def write_notebook(doc: dict) -> bytes:
             continue
         (ident, classes, pairs), inner = b["c"]
         if "code" in classes:
-            outputs = []
-            for o in inner[1:]:
-                if o["t"] == "Div" and "stream" in o["c"][0][1]:
-                    outputs.append({"output_type": "stream", "name": o["c"][0][1][-1], "text": text_of(o["c"][1]).splitlines(keepends=True)})
-                elif o["t"] == "Div" and o["c"][1] and o["c"][1][0]["t"] == "CodeBlock":
-                    outputs.append({"output_type": "display_data", "metadata": {}, "data": {"text/plain": text_of(o["c"][1]).splitlines(keepends=True)}})
-            count = dict(map(tuple, pairs)).get("execution_count")
-            add("code", inner[0]["c"][1] if inner else "", ident, execution_count=int(count) if count else None, outputs=outputs)
+            said = dict(map(tuple, pairs)).get("execution_count")
+            count = int(said) if said else None
+            outputs = [w for o in inner[1:] if (w := written_output(o, media, count))]
+            add("code", inner[0]["c"][1] if inner else "", ident, execution_count=count, outputs=outputs)
         elif "raw" in classes:
-            add("raw", inner[0]["c"][1] if inner else "", ident)
+            fmt, source = inner[0]["c"] if inner else ("ipynb", "")
+            add("raw", source, ident)
+            if fmt != "ipynb":
+                cells[-1]["metadata"]["raw_mimetype"] = {"html": "text/html", "latex": "text/latex"}.get(fmt, fmt)
         else:
-            add("markdown", write_text(document(inner), "gfm").rstrip("\n"), ident)
-    return (json.dumps({"cells": cells, "metadata": {}, "nbformat": 4, "nbformat_minor": 5}, ensure_ascii=False, indent=1) + "\n").encode()
+            markdown(inner, ident)
+    kept = doc["meta"].get("jupyter", {}).get("c", {}).get("metadata", {}).get("c")
+    metadata = json.loads(kept) if kept else None
+    return (json.dumps({"cells": cells, "metadata": metadata or {}, "nbformat": 4, "nbformat_minor": 5}, ensure_ascii=False, indent=1) + "\n").encode()
 
 
 # ---- DOCX
