@@ -73,6 +73,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--toc", action="store_true")
     p.add_argument("-N", "--number-sections", action="store_true")
     p.add_argument("-M", "--metadata", action="append", default=[])
+    p.add_argument("--wrap", choices=("auto", "none", "preserve"), default="preserve")
+    p.add_argument("--columns", type=int, default=72)
     p.add_argument("--extract-media")
     p.add_argument("-V", "--version", action="version", version=__version__)
     a = p.parse_args(args)
@@ -89,7 +91,7 @@ def main(args: list[str] | None = None) -> int:
         if target == "html" and (a.standalone or a.css or a.toc):
             out = html_page(doc, Path(a.css).read_text() if a.css else None, contents_html(doc["blocks"]) if a.toc else "").encode()
         else:
-            out = write_one(doc, target, beside(doc, media, Path(a.file).parent if a.file else Path()) if target in PACKAGES else None)
+            out = write_one(doc, target, beside(doc, media, Path(a.file).parent if a.file else Path()) if target in PACKAGES else None, {"auto": a.columns, "none": 1 << 30}.get(a.wrap))
     except (ast.DocumentError, OSError) as e:
         print(f"docloom: {e}", file=sys.stderr)
         return 1

@@ -293,3 +293,9 @@ def notebook_round_trip(spark, sf_dir):
         "doc_id", at("$.metadata.kernelspec.language").alias("kernel"), joined("$.cells[0].source", "").alias("source"), joined(f"{o}[0].text", "").alias("stream"), at(f"{o}[1].data['image/png']").alias("png"),
         at(f"{o}[2].data['application/json'].a").alias("json"), at(f"{o}[3].ename").alias("ename"), joined(f"{o}[3].traceback", "|").alias("trace"), joined("$.cells[1].source", "").alias("note"), at("$.cells[1].attachments['a.png']['image/png']").alias("attached"),
     )
+
+
+@query()
+def markdown_filled(spark, sf_dir):
+    """Documents as markdown with lines of up to 60 columns; tests hold it against a loop over words."""
+    return doc.convert(table(spark, sf_dir, "documents"), "commonmark", "commonmark", "text", columns=60).select("doc_id", "output")

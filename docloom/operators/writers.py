@@ -347,12 +347,45 @@ class Text(Writer):
         return f"[{n}]"
 
 
+_BREAK = "\x1f"  # where a line may end
+_LEAD = re.compile(r"(?:> ?| |[-*+] +(?=\S)|\d{1,9}[.)] +)*")
+_MARK = re.compile(r"[-+*>=#|]|\d{1,9}[.)]$|~~~|```")
+
+
+def filled(line: str, columns: int) -> str:
+    """A line with breaks as lines of up to `columns` characters, greedily; what quotes or sets it in is repeated. A word
+    that would start a block never starts a line; tables and headings stay one line."""
+    if _BREAK not in line:
+        return line
+    lead = _LEAD.match(line)[0]
+    rest = line[len(lead) :]
+    if rest.startswith(("|", "#")):
+        return line.replace(_BREAK, " ")
+    inset = re.sub(r"[^>]", " ", lead)
+    out, now = [], ""
+    for word in rest.split(_BREAK):
+        if now and len(lead if not out else inset) + len(now) + 1 + len(word) > columns and not _MARK.match(word):
+            out.append((inset if out else lead) + now)
+            now = word
+        else:
+            now = f"{now} {word}" if now else word
+    return "\n".join([*out, (inset if out else lead) + now])
+
+
 class Markdown(Text):
     raw = ("html",)
 
-    def __init__(self, gfm: bool = True):
+    def __init__(self, gfm: bool = True, columns: int | None = None):
+        """columns: lines of paragraphs are filled up to it, soft line ends being blanks; else they stay as they are."""
         super().__init__()
-        self.gfm = gfm
+        self.gfm, self.columns = gfm, columns
+
+    def i_space(self, c):
+        return _BREAK if self.columns else " "
+
+    def whole(self, nodes):
+        text = super().whole(nodes)
+        return "\n".join(filled(line, self.columns) for line in text.split("\n")) if self.columns else text
 
     def blocks(self, nodes):
         """Neighbouring lists of one kind are kept apart: bullets alternate, numbers get a comment between them."""
@@ -433,7 +466,7 @@ class Markdown(Text):
         return re.sub(r"([~$])", r"\\\1", c) if self.gfm else c
 
     def i_softbreak(self, c):
-        return "\n"
+        return _BREAK if self.columns else "\n"
 
     def i_linebreak(self, c):
         return "  \n"
@@ -769,9 +802,10 @@ class Asciidoc(Text):
 WRITERS = {"html": Html, "gfm": Markdown, "commonmark": lambda: Markdown(False), "plain": Text, "latex": Latex, "rst": Rst, "asciidoc": Asciidoc}
 
 
-def write_text(doc: dict, to: str) -> str:
-    """The text of a document in one of WRITERS' formats, with a line end unless it is empty."""
-    writer = WRITERS[to]()
+def write_text(doc: dict, to: str, columns: int | None = None) -> str:
+    """The text of a document in one of WRITERS' formats, with a line end unless it is empty. columns fills the
+    paragraphs of markdown; the other formats keep their lines."""
+    writer = Markdown(to == "gfm", columns) if columns and to in ("gfm", "commonmark") else WRITERS[to]()
     text = writer.joined(doc["blocks"]) if isinstance(writer, Html) else writer.whole(doc["blocks"])
     return text + "\n" if text else ""
 

@@ -45,13 +45,13 @@ def read_one(content: bytes | str, fmt: str) -> tuple[dict, dict[str, bytes]]:
     raise ast.DocumentError(f"{fmt} can't be read")
 
 
-def write_one(doc: dict, fmt: str, media: dict[str, bytes] | None = None) -> bytes:
+def write_one(doc: dict, fmt: str, media: dict[str, bytes] | None = None, columns: int | None = None) -> bytes:
     if fmt in PACKAGES:
         return PACKAGES[fmt][1](doc, media or {})
     if fmt == "json":
         return (ast.dumps(doc) + "\n").encode()
     if fmt in WRITERS:
-        return write_text(doc, fmt).encode()
+        return write_text(doc, fmt, columns).encode()
     raise ast.DocumentError(f"{fmt} can't be written")
 
 
@@ -139,20 +139,21 @@ def parse_media(docs: DataFrame, fmt: str, content: str = "content", id_col: str
     return _kernel(columns, rows, f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, url string, bytes binary")
 
 
-def convert(docs: DataFrame, source: str, target: str, content: str = "content", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, output, error): each row read and written in one pass, images included. output is text, or binary for packages."""
-    columns = docs.select(F.col(id_col).alias("doc_id"), F.col(content).alias("content"))
+def convert(docs: DataFrame, source: str, target: str, content: str = "content", id_col: str = "doc_id", columns: int | None = None) -> DataFrame:
+    """(doc_id, output, error): each row read and written in one pass, images included. output is text, or binary for
+    packages; columns is the width to which markdown's paragraphs are filled."""
+    rows_in = docs.select(F.col(id_col).alias("doc_id"), F.col(content).alias("content"))
     binary = target in PACKAGES and target != "ipynb"
 
     def one(data):
         doc, media = read_one(data, source)
-        out = write_one(doc, target, media)
+        out = write_one(doc, target, media, columns)
         return out if binary else out.decode()
 
     def rows(doc_id, data):
         return [(doc_id, *attempt(one, data))] if data is not None else [(doc_id, None, None)]
 
-    return _kernel(columns, rows, f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, output {'binary' if binary else 'string'}, error string")
+    return _kernel(rows_in, rows, f"doc_id {rows_in.schema['doc_id'].dataType.simpleString()}, output {'binary' if binary else 'string'}, error string")
 
 
 def render(asts: DataFrame, target: str) -> DataFrame:

@@ -108,3 +108,25 @@ def test_written_markdown_reads_back(words):
     for dialect in ("commonmark", "gfm"):
         text = write_text({"blocks": blocks}, dialect)
         assert write_text(read_markdown(text, dialect), "html") == write_text({"blocks": blocks}, "html"), text
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["a", "word", "longer-word", "1.", "-", "+", "#", "x" * 30, "12)", "é"]), min_size=1, max_size=60), st.integers(5, 40))
+def test_filled_lines(words, columns):
+    words = ["start", *words]
+    found = write_text(read_markdown(" ".join(words), "commonmark"), "commonmark", columns)
+    lines, now = [], ""
+    for w in words:
+        if now and len(now) + 1 + len(w) > columns and w not in ("1.", "-", "+", "#", "12)"):
+            lines.append(now)
+            now = w
+        else:
+            now = f"{now} {w}" if now else w
+    assert found == "\n".join([*lines, now]) + "\n"
+
+
+def test_filled_text_reads_back():
+    text = "> " + "quoted words " * 12 + "\n\n- " + "an item of a list " * 9 + "\n  1. " + "inner words " * 9 + "\n\n# " + "head " * 20 + "\n"
+    first = read_markdown(text, "gfm")
+    again = read_markdown(write_text(first, "gfm", 30), "gfm")
+    assert dumps(first) == dumps(again).replace("SoftBreak", "Space")
