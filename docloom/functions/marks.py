@@ -66,6 +66,27 @@ def tabs_expanded(line: Column, stop: int = 4) -> Column:
     return F.concat(joined, F.element_at(parts, -1))
 
 
+def lines_prepared(text: Column, stop: int = 4) -> Column:
+    """Text as a line reader takes it: no carriage returns, tabs filled line by line, a line end at the end unless it is empty."""
+    lines = F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n")
+    whole = F.array_join(F.transform(lines, lambda x: tabs_expanded(x, stop)), "\n")
+    return F.when((whole == "") | whole.endswith("\n"), whole).otherwise(F.concat(whole, F.lit("\n")))
+
+
+def leading_newlines_doubled(html: Column) -> Column:
+    """HTML whose preformatted elements keep a line end at their start: a reader drops one."""
+    return F.regexp_replace(html, r"(?i)(<(?:pre|textarea|listing)(?:\s[^>]*)?>)\n", "$1\n\n")
+
+
+def resolved_path(base: Column, target: Column) -> Column:
+    """The part that a relative target names, seen from the part base: `..` and `.` resolved, percent signs decoded; a
+    target from / on counts from the root. `..` beyond the root stays there."""
+    folder = F.when(target.startswith("/"), F.lit("")).otherwise(F.regexp_replace(base, "[^/]*$", ""))
+    steps = F.split(F.concat(folder, F.replace(F.url_decode(F.replace(target, F.lit("+"), F.lit("%2B"))), F.lit("\\"), F.lit("/"))), "/")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda out, x: F.when((x == "") | (x == "."), out).when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x))))
+    return F.array_join(kept, "/")
+
+
 def multiset_intersection(a: Column, b: Column) -> Column:
     """Elements of a, in order, each as often at most as b holds it. Quadratic in the arrays: for the few modifiers of a run."""
     return F.filter(a, lambda x, i: _seen(a, x, i) <= F.size(F.filter(b, lambda y: y == x)))

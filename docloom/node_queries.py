@@ -222,6 +222,64 @@ def tabs_expanded(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", marks.tabs_expanded(F.concat("p_name", F.lit("\t"), "p_brand")).alias("line"))
 
 
+@query("SELECT p_partkey, p_name || repeat(' ', (4 - length(p_name) % 4)::INT) || 'x' || chr(10) || '    ' || p_brand || chr(10) AS text FROM part")
+def lines_prepared(spark, sf_dir):
+    made = F.concat("p_name", F.lit("\tx\r\n\t"), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", marks.lines_prepared(made).alias("text"))
+
+
+@query("SELECT p_partkey, '<pre class=\"a\">' || chr(10) || chr(10) || p_name || '</pre><p>' || chr(10) || 'x</p><TextArea>' || chr(10) || chr(10) || '</TextArea>' AS html FROM part")
+def pre_newlines(spark, sf_dir):
+    made = F.concat(F.lit('<pre class="a">\n'), "p_name", F.lit("</pre><p>\nx</p><TextArea>\n</TextArea>"))
+    return table(spark, sf_dir, "part").select("p_partkey", marks.leading_newlines_doubled(made).alias("html"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'word/media/a b' || p_partkey || '.png' WHEN 1 THEN 'media/i' || p_partkey WHEN 2 THEN 'x/' || p_partkey ELSE 'word/c' || p_partkey END AS path FROM part
+""")
+def resolved_paths(spark, sf_dir):
+    """Relationship targets seen from a part of a package."""
+    key = F.col("p_partkey").cast("string")
+    target = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("media/a%20b"), key, F.lit(".png"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("../media/./i"), key))
+    target = target.when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("../../../x/"), key)).otherwise(F.concat(F.lit("/word/b/../c"), key))
+    return table(spark, sf_dir, "part").select("p_partkey", marks.resolved_path(F.lit("word/document.xml"), target).alias("path"))
+
+
+# ---- relations of documents, by Spark's own operators
+
+
+@query("""
+SELECT 'both' AS op, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT 'either', doc_id FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)
+""")
+def set_operations(spark, sf_dir):
+    """Documents with and without labels."""
+    docs, labels = (table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
+    named = lambda op, df: df.select(F.lit(op).alias("op"), "doc_id")
+    return named("both", docs.intersect(labels)).unionByName(named("unlabelled", docs.exceptAll(labels).distinct())).unionByName(named("either", docs.union(labels).distinct()))
+
+
+@query("""
+SELECT doc_id, rank() OVER w AS rank, dense_rank() OVER w AS dense, ntile(10) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS decile,
+  sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS recent FROM documents WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC)
+""")
+def ranked_documents(spark, sf_dir):
+    """Documents of a source by length."""
+    w, u = Window.partitionBy("source").orderBy(F.desc("n_chars")), Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.rank().over(w).cast("long").alias("rank"), F.dense_rank().over(w).cast("long").alias("dense"), F.ntile(10).over(u).cast("long").alias("decile"), F.sum("n_chars").over(u.rowsBetween(-2, 0)).alias("recent"))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def longest_documents(spark, sf_dir):
+    """A top-k report."""
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(25)
+
+
+@query("SELECT event_id, year(ts)::INT AS year, dayofyear(ts)::INT AS day, date_trunc('week', ts)::TIMESTAMP AS week, strftime(ts, '%Y-%m-%dT%H:%M') AS minute FROM events")
+def calendar_fields(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.year("ts").alias("year"), F.dayofyear("ts").alias("day"), F.date_trunc("week", "ts").alias("week"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("minute"))
+
+
 # ---- windows over events, the same functions as over streams
 
 
