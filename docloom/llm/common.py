@@ -73,11 +73,6 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def has_table(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def remainder(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo modulus; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
