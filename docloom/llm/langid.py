@@ -108,9 +108,10 @@ class Model:
         words = _WORD.findall(text.lower()) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        known, get, place = self.grams[0], self.places.get, self.place
+        known = self.grams[0]
         if (len(self.places) - len(known) * (self.dense is not None)) * len(self.langs) > _KEPT:
             self._reset()
+        get, place = self.places.get, self.place  # of the words kept after a reset
         if self.dense is not None:
             idx = [i if (i := get(w)) is not None else place(w) for w in words]
             total = self.rows[idx].sum(axis=0)

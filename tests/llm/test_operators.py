@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -395,6 +396,21 @@ def test_language_against_plain_backoff(spark):
         assert mean[lang] == pytest.approx(max(mean.values())) and score == pytest.approx(odds[lang] / sum(odds.values()))
 
 
+@pytest.mark.parametrize("written", [langid._WRITTEN, 0])
+def test_language_after_unseen_words_are_forgotten(monkeypatch, written):
+    monkeypatch.setattr(langid, "_KEPT", 40)
+    monkeypatch.setattr(langid, "_WRITTEN", written)
+    counts = Counter((n, g, lang) for lang, words in (("en", "the house of stones"), ("fr", "la maison de pierres")) for w in words.split() for n in range(6) for g in ([w] if n == 0 else langid.grams(w, n)))
+    entries = [(*k, c) for k, c in counts.items()]
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list("thouselamnpir"), 5)) for _ in range(rng.integers(1, 40))) for _ in range(60)]
+    texts += [x for t in texts[:20] for x in (t, t[:30])]
+    kept = langid.Model(["en", "fr"], entries)
+    for text in texts:
+        lang, score = langid.Model(["en", "fr"], entries).predict(text)
+        assert kept.predict(text) == (lang, pytest.approx(score))
+
+
 def test_every_language_is_sampled(spark):
     rows = [(i, "common words again and again", "aa", "a") for i in range(3000)] + [(9000 + i, f"rare{'abcdefghij'[i % 10]} tongue tongue", "zz", "a") for i in range(4)]
     model = langid.train(table(spark, rows), fit_docs=100)
