@@ -1,4 +1,4 @@
-"""Where simhash.near_copies() finds pairs that no anchor covers, and the exact Jaccard check of all its pairs."""
+"""Where simhash.near_copies() finds all pairs that no anchor covers, and the exact Jaccard check of all its pairs."""
 
 from __future__ import annotations
 
@@ -17,9 +17,7 @@ SHINGLE, LEAST = 5, 0.8
 FREQUENT, SAMPLE = 100_000, 10_000  # shingles known as frequent, from so many texts
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS, _NONE = 1 << 16, 1 << 30
-WIDE = 31  # bits of two fingerprints' 128: at a similarity of 0.8 about three in a thousand pairs differ in more
-_OTHER = np.uint64(0xD6E8FEB86659FD93)
-REACH, NEAREST = 4096, 2  # sets that a set is compared with at a shingle in a turn, and how many of them are proposed
+BINS, CHUNK = 64, 4096  # of a set's counts, four bits each; sets of a shingle that are compared in one group
 
 
 def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -86,63 +84,89 @@ def _groups(batches) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _fits(size: np.ndarray, mark: np.ndarray, more: np.ndarray, i, j, least: float) -> np.ndarray:
-    """Whether sets i and j can be alike by their sizes and by the distance of their two fingerprints."""
-    big, small = np.maximum(size[i], size[j]), np.minimum(size[i], size[j])
-    return (small >= least * big - 1e-9) & (np.bitwise_count(mark[i] ^ mark[j]) + np.bitwise_count(more[i] ^ more[j]) <= WIDE)
+def counts(found: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each of BINS bins, modulo 16, packed into four signed longs."""
+    n = (np.bincount((found.view(np.uint64) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) & 15).astype(np.uint8)
+    return (n[: BINS // 2] | n[BINS // 2 :] << 4).view(np.int64)
 
 
-def _met(batches, least: float):
-    """Of rows (token, size, key, mark, more), sorted: those whose token another set has too, each with the keys of the set
-    before it and of its token's first set (its least key), where they fit."""
+def _unpacked(longs: list[np.ndarray]) -> np.ndarray:
+    """The bins of sets whose counts() are in columns, a row each."""
+    both = np.ascontiguousarray(np.column_stack(longs)).view(np.uint8)
+    return np.concatenate([both & 15, both >> 4], axis=1)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number of members that only one of two sets has, by their bins; it never exceeds the true number."""
+    d = (x - y) & 15
+    return np.minimum(d, 16 - d).sum(axis=1, dtype=np.int64)
+
+
+def _met(batches):
+    """Of rows (token, pos, size, key), sorted by token: those whose token another set has too, with n, how many have it."""
     import pyarrow as pa
 
-    for token, size, key, mark, more in _groups(batches):
-        same = token[1:] == token[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
-        if not keep.any():
-            continue
-        token, size, key, mark, more = token[keep], size[keep], key[keep], mark[keep].view(np.uint64), more[keep].view(np.uint64)
-        at = np.arange(len(token))
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        group = np.cumsum(np.r_[False, token[1:] != token[:-1]])
-        by_key = np.lexsort((key, group))
-        heads = by_key[starts][group]
-        before = np.maximum(at - 1, 0)
-        fits = (before >= starts[group]) & (at > starts[group]) & _fits(size, mark, more, at, before, least)
-        led = (heads != at) & (heads != before) & _fits(size, mark, more, at, heads, least)
-        yield pa.RecordBatch.from_pydict({"token": token, "size": size, "key": key, "mark": mark.view(np.int64), "more": more.view(np.int64), "before": pa.array(key[before], mask=~fits), "head": pa.array(key[heads], mask=~led)})
-
-
-def _crossing(batches, least: float, by_size: bool):
-    """Of rows (token, size, key, mark, more, root), sorted: (a, b) of each set and the NEAREST sets of other roots that it
-    meets at a token, among the REACH that follow it there. Near is a close fingerprint, or by_size a like size."""
+    for token, pos, size, key in _groups(batches):
+        cuts = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+        n = np.repeat(np.diff(cuts), np.diff(cuts))
+        keep = n > 1
+        if keep.any():
+            yield pa.RecordBatch.from_pydict({"token": token[keep], "pos": pos[keep], "size": size[keep], "key": key[keep], "n": n[keep].astype(np.int32)})
+
+
+def _crossing(batches, least: float, every: bool):
+    """Of rows (cell, part, size, pos, key, root, four counts), sorted by cell and size: the pairs (a, b) of sets of other
+    roots in a cell that can be alike. It is every such pair, or each set's nearest one by the counts.
+
+    What is left out can't be alike, or not at this token: the sizes are too far apart, too few shingles follow the
+    place where the sets meet (at their first common shingle enough do), or their counts are too far apart.
+    """
     import pyarrow as pa
 
-    out_a, out_b = [], []
-    for token, size, key, mark, more, root in _groups(batches):
-        marks, mores = mark.view(np.uint64), more.view(np.uint64)
-        starts = np.r_[0, np.flatnonzero(np.diff(token)) + 1]
-        stops = np.r_[starts[1:], len(token)]
+    def pairs(x, y):
+        return pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    share, spare = least / (1 + least), (1 - least) / (1 + least)  # of two sizes: what is common at least, and apart at most
+    for cols in _groups(batches):
+        cell, root = cols[0], cols[5]
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        for lo, hi in zip(starts[mixed].tolist(), stops[mixed].tolist()):
-            s, m, m2, r = size[lo:hi], marks[lo:hi], mores[lo:hi], root[lo:hi]
-            ends = np.minimum(np.searchsorted(s, (s + 1e-9) / least, side="right"), np.arange(hi - lo) + 1 + REACH)
-            for i in range(hi - lo - 1):
-                j = slice(i + 1, ends[i])
-                far = np.bitwise_count(m[j] ^ m[i]) + np.bitwise_count(m2[j] ^ m2[i])
-                cost = np.where((far <= WIDE) & (r[j] != r[i]), s[j] - s[i] if by_size else far, _NONE)
-                best = np.flatnonzero(cost < _NONE)
-                if len(best) > NEAREST:
-                    best = best[np.argpartition(cost[best], NEAREST - 1)[:NEAREST]]
-                x, y = key[lo + i], key[lo + i + 1 + best]
-                out_a += np.minimum(x, y).tolist()
-                out_b += np.maximum(x, y).tolist()
-        if len(out_a) >= _PAIRS:
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-            out_a, out_b = [], []
-    if out_a:
-        yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+        if not mixed.any():
+            continue
+        keep = np.repeat(mixed, np.diff(np.r_[starts, len(cell)]))
+        cell, part, size, pos, key, root = (c[keep] for c in cols[:6])
+        bins = _unpacked([c[keep] for c in cols[6:]])
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        lengths = np.diff(np.r_[starts, len(cell)])
+        stop = np.repeat(starts + lengths, lengths)
+        left = size - pos
+        best, to = np.full(len(cell), 1 << 30), np.full(len(cell), -1)
+        i, out, held = np.arange(len(cell)), [], 0
+        for d in range(1, int(lengths.max())):
+            i = i[i + d < stop[i]]
+            i = i[size[i + d] * least <= size[i] + 1e-9]
+            j = i + d
+            both = size[i] + size[j]
+            fits = np.flatnonzero((root[i] != root[j]) & ((part[i] == 0) | (part[i] != part[j])) & (np.minimum(left[i], left[j]) >= both * share - 1e-6))
+            x, y = i[fits], j[fits]
+            far = _apart(bins[x], bins[y])
+            near = far <= both[fits] * spare + 1e-6
+            x, y, far = x[near], y[near], far[near]
+            if every:
+                out.append((key[x], key[y]))
+                held += len(x)
+                if held >= _PAIRS:
+                    yield pairs(*map(np.concatenate, zip(*out)))
+                    out, held = [], 0
+            else:
+                for one, other in ((x, y), (y, x)):
+                    nearer = far < best[one]
+                    best[one[nearer]], to[one[nearer]] = far[nearer], other[nearer]
+        if held:
+            yield pairs(*map(np.concatenate, zip(*out)))
+        found = np.flatnonzero(to >= 0)
+        if len(found):
+            yield pairs(key[found], key[to[found]])
 
 
 def _alike(batches, least: float):
@@ -168,12 +192,12 @@ def groups(docs: DataFrame, mark: Callable[[np.ndarray], int], near_marks: Calla
     a Jaccard similarity of `least` or more, and root is one key of all that links lead to. Each link is compared by 32-bit hashes of the shingles.
 
     mark makes a fingerprint of a text's shingle hashes, and near_marks finds the pairs (a, b) of close ones in a table
-    of distinct marks (mark). Sets that reach `least` share one of the first missing + 1 shingles of any common order
-    (rarer ones stand first, by a sample), so they meet there; at each such shingle their fingerprints are compared.
-    In the first turn a set's candidates are those of near_marks, the set before it at a shingle and the set of the least
-    key there; in later turns the nearest ones of another root, until a turn finds no link. So a turn proposes a few
-    pairs a set at a shingle and never all pairs of a group; links of which every proposal fails can be missed (the
-    README gives the measured recall). Equal sets are compared once. Texts without a word are alike.
+    of distinct marks (mark): the first candidates. Sets that reach `least` share one of the first missing + 1 shingles
+    of any common order (rarer ones stand first, by a sample), so they meet there. In up to turns - 1 turns each set is
+    compared with the nearest one of another root at each such shingle, which joins large groups by few comparisons;
+    then, in one more turn, with every set there that is still of another root and can be alike. So all links count:
+    none is missed but those inside a group that others have joined. Equal sets are compared once. Texts without a
+    word are alike.
     """
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
 
@@ -192,14 +216,14 @@ def groups(docs: DataFrame, mark: Callable[[np.ndarray], int], near_marks: Calla
     def printed(columns):
         every = [hashes(t, shingle) for t in columns[1]]
         found = [np.unique(h.view(np.int64)) for h in every]
-        other = [(f.view(np.uint64) ^ (f.view(np.uint64) >> np.uint64(32))) * _OTHER for f in found]
-        return [columns[0], [xxhash.xxh3_128_digest(f.tobytes()) for f in found], [len(f) for f in found], [prefix(f, known.value, least) for f in found], [mark(h) for h in found], [mark(h) for h in other]]
+        return [columns[0], [xxhash.xxh3_128_digest(f.tobytes()) for f in found], [len(f) for f in found], [prefix(f, known.value, least) for f in found], [mark(h) for h in every], *np.array([counts(f) for f in found], np.int64).reshape(-1, 4).T]
 
-    prints = stored(arrow_map(texts, printed, "key long, digest binary, size int, first array<long>, mark long, more long"), "jaccard-prints")
-    classes = stored(prints.groupBy("digest").agg(F.min("key").alias("own"), F.first("mark").alias("mark"), F.first("size").alias("size")), "jaccard-classes")
+    bins = ["c0", "c1", "c2", "c3"]
+    prints = stored(arrow_map(texts, printed, "key long, digest binary, size int, first array<long>, mark long, " + ", ".join(f"{c} long" for c in bins)), "jaccard-prints")
+    classes = stored(prints.groupBy("digest").agg(F.min("key").alias("own"), *[F.first(c).alias(c) for c in ("mark", "size", *bins)]), "jaccard-classes")
     chosen = prints.join(classes.select(F.col("own").alias("key")), "key", "left_semi")
-    tokens = chosen.select(F.explode("first").alias("token"), "size", "key", "mark", "more")
-    met = stored(tokens.repartition("token").sortWithinPartitions("token", "size", "key").mapInArrow(lambda x: _met(x, least), "token long, size int, key long, mark long, more long, before long, head long"), "jaccard-met")
+    tokens = chosen.select(F.posexplode("first").alias("pos", "token"), "size", "key").select("token", "pos", "size", "key")
+    met = stored(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_met, "token long, pos int, size int, key long, n int"), "jaccard-met")
 
     tried: list[DataFrame] = []
 
@@ -210,12 +234,6 @@ def groups(docs: DataFrame, mark: Callable[[np.ndarray], int], near_marks: Calla
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = stored(pairs, "jaccard-pairs")
         tried.append(pairs)
-        # what two sets share lies in both prefixes, where they meet, or behind the prefix of one of them: counting the
-        # first, over narrow rows, spares most pairs that aren't alike the comparison of their sets
-        side = lambda n: met.select("token", F.col("key").alias(n), F.col("size").alias(f"size_{n}"))
-        meets = pairs.join(side("b"), "b").join(side("a"), ["token", "a"]).groupBy("a", "b").agg(F.count("*").alias("n"), F.first("size_a").alias("sa"), F.first("size_b").alias("sb"))
-        behind = F.ceil(F.greatest("sa", "sb") * least - 1e-9) - 1
-        pairs = stored(meets.where(F.col("n") + behind >= (F.col("sa") + F.col("sb")) * (least / (1 + least)) - 1e-6).select("a", "b"), "jaccard-possible")
         # the set of a pair's greater key, the owner, and that of the other meet at the owner, made from the text where it is read
         at = pairs.select(F.col("b").alias("owner"), F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("owner"), F.col("b").alias("key")).distinct())
         at = stored(at.groupBy("key").agg(F.collect_list("owner").alias("owners")), "jaccard-owners")
@@ -223,17 +241,25 @@ def groups(docs: DataFrame, mark: Callable[[np.ndarray], int], near_marks: Calla
         dealt = with_sets.select(F.explode("owners").alias("owner"), "key", "found").repartition("owner").sortWithinPartitions("owner", F.col("key") != F.col("owner"))
         return stored(dealt.mapInArrow(lambda x: _alike(x, least), "a long, b long"), "jaccard-links")
 
-    pair = lambda other: met.where(F.col(other).isNotNull()).select(F.least("key", other).alias("a"), F.greatest("key", other).alias("b"))
-    joined = verified(pair("before").unionByName(pair("head")).unionByName(_by_marks(classes, near_marks, least)))
-    for turn in range(1, turns):
-        roots = component_roots(joined, "a", "b").withColumnRenamed("node", "key")
-        rooted = met.select("token", "size", "key", "mark", "more").join(roots, "key", "left").select("token", "size", "key", "mark", "more", F.coalesce("root", "key").alias("root"))
-        nearest = rooted.repartition("token").sortWithinPartitions("token", "size", "key").mapInArrow(lambda x, n=turn: _crossing(x, least, n % 2 == 0), "a long, b long")
-        more = verified(nearest)
-        joined = roots.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more)
+    def crossing(roots, every):
+        """The pairs of keys of other roots that meet in met. A shingle of more than CHUNK sets is dealt to several cells."""
+        sets = classes.select(F.col("own").alias("key"), *bins).join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), *bins)
+        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+        dealt = met.select("*", F.pmod(F.xxhash64("key"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        cell = F.xxhash64("token", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell")
+        part = F.signum(F.col("chunk") - F.col("other")).cast("int").alias("part")  # 0: all pairs of the cell
+        rows = dealt.select(cell, part, "size", "pos", "key").join(sets, "key").select("cell", "part", "size", "pos", "key", "root", *bins)
+        return rows.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(lambda x: _crossing(x, least, every), "a long, b long")
+
+    rooted = lambda links: component_roots(links, "a", "b").withColumnRenamed("node", "key")
+    joined = lambda roots, more: roots.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more)
+    roots = rooted(verified(_by_marks(classes, near_marks, least)))
+    for _ in range(1, turns):
+        more = verified(crossing(roots, every=False))
         if more.isEmpty():
             break
-    roots = component_roots(joined, "a", "b")
+        roots = rooted(joined(roots, more))
+    roots = rooted(joined(roots, verified(crossing(roots, every=True)))).withColumnRenamed("key", "node")
     of = classes.join(roots.select(F.col("node").alias("own"), "root"), "own", "left").select("digest", F.coalesce("root", "own").alias("root"))
     return prints.select("key", "digest").join(of, "digest").select("key", "root")
 
