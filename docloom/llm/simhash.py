@@ -228,9 +228,9 @@ def near_copies(docs: DataFrame, least: float = jaccard.LEAST, shingle: int = ja
     similarity of `least` or more are linked, and root is one key of all that links lead to.
 
     Fingerprints of those runs that meet at an anchor within `distance` bits are the first candidates. At 0.8 most alike
-    pairs differ in more bits than a covering code can serve, so fingerprints also meet at the rarest runs of their texts
-    and are compared there within jaccard.WIDE bits; jaccard.groups() says how. Each pair is then compared exactly. Null
-    and empty texts are alike; repeated texts are compared once; an empty table gives an empty result.
+    pairs differ in more bits than a covering code can serve, so texts also meet at their rarest runs, where every
+    pair that can be alike is proposed; jaccard.groups() says how. Each pair is then compared. Null and empty texts are
+    alike; repeated texts are compared once; an empty table gives an empty result.
     """
     near = lambda marks: links(marks.withColumnRenamed("mark", "fp"), distance)
     return jaccard.groups(docs, majority, near, least, shingle, key_col=key_col, text_col=text_col)

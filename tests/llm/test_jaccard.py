@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline as cp
 from docloom.llm import jaccard, simhash
 
@@ -73,3 +76,30 @@ def test_stage_drops_near_copies_that_fingerprints_miss(spark):
     assert 40 < len(want) < 80
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()} == want
+
+
+def test_pairs_are_spared_only_if_they_cannot_be_alike():
+    rng, spared = random.Random(3), 0
+    some = lambda n: np.array([rng.getrandbits(64) for _ in range(n)], np.uint64).view(np.int64)
+    for size in (1, 5, 40, 700, 5000):
+        for part in (0, 0.05, 0.11, 0.2, 0.4):
+            one = some(size)
+            two = np.r_[one[round(size * part) :], some(round(size * part * rng.choice([0.1, 1])))]
+            one, two = np.unique(one), np.unique(two)
+            ok = jaccard.possible(jaccard.sketch(one), jaccard.sketch(two), 0.8)
+            assert ok or jaccard.similarity(one, two) < 0.8
+            spared += not ok
+    assert spared >= 3
+
+
+def test_cells_put_off_lose_no_pair(monkeypatch):
+    n = 40
+    cols = [np.repeat(np.arange(4), n // 4), np.zeros(n, np.int32), np.full(n, 100, np.int32), np.zeros(n, np.int32), np.arange(n), np.arange(n), *np.zeros((4, n), np.int64)]
+    batch = lambda at: pa.RecordBatch.from_arrays([pa.array(c[at]) for c in cols], names=[str(i) for i in range(len(cols))])
+    for few, put_off in ((0, n), (n, 0)):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        first = [r for b in jaccard._crossing([batch(np.arange(n))], 0.8, False) for r in b.to_pylist()]
+        off = [r["key"] for r in first if r["cell"] is not None]
+        last = [r for b in jaccard._crossing([batch(np.array(off, int))], 0.8, True) for r in b.to_pylist()]
+        assert len(off) == put_off
+        assert {(r["a"], r["b"]) for r in first + last if r["a"] is not None} == {(i, j) for j in range(n) for i in range(j) if i // 10 == j // 10}
