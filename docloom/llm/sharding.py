@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +10,8 @@ from pyspark.sql.window import Window
 
 from docloom.llm.common import stored
 
-DIGIT = 10  # bits by which a cut is refined per pass
-DIGITS = 6
+PART = 20  # bits of each of a key's parts: value, hash of the group, hash of the row
+PARTS = 3  # a cut is refined by a part per pass
 SLACK = 0.004  # of a leaf's target: a cut may miss its median by so much to keep equal texts together
 NUMBERED = 100_000  # rows of a shard that are numbered in one group, about
 DIMS = ("bytes", "lang", "density")
@@ -30,79 +29,92 @@ class Node:
 
 def key_of(value: Column, group: Column, row: Column) -> Column:
     """A 60-bit key that orders by a 20-bit value, then by a hash of the group, then by one of the row: a cut can part rows of one value."""
-    bits = lambda h: F.pmod(h, F.lit(2**20))
-    return F.shiftleft(value.cast("long"), 40) + F.shiftleft(bits(group), 20) + bits(row)
+    bits = lambda h: F.pmod(h, F.lit(2**PART))
+    return F.shiftleft(value.cast("long"), 2 * PART) + F.shiftleft(bits(group), PART) + bits(row)
 
 
-def _nodes(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """A row per node of the tree, as a broadcast table: as many as there are shards at most, whatever df's size."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    text = json.dumps([dict(zip(names, r)) for r in rows])
-    return F.broadcast(df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ",")))))
+def _constant(values: list, kind: str) -> Column:
+    """values as one constant array: neither jobs nor joins nor generated code come of it, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _known(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """df joined on node with a row for each of some nodes."""
-    return df.join(_nodes(df, rows, schema), "node")
-
-
-def _key(dims: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*dims), F.col("dim"))
+def _of_node(known: dict[int, float], kind: str) -> Column:
+    """What is known of a row's node; -1 or null of others."""
+    return F.get(_constant([known.get(i, -1) for i in range(max(known) + 1)], kind), F.col("node"))
 
 
 def _descended(points: DataFrame, levels: list[list[Node]], dims: tuple[str, ...]) -> DataFrame:
-    """points with node, the first shard below the node of the tree so far that a row falls into: a join a level."""
-    found = points.withColumn("node", F.lit(0))
-    for cut in levels:
-        rows = [(n.first, dims.index(n.cut[0]) + 1, n.cut[1], n.kids[1].first) for n in cut]
-        found = found.join(_nodes(points, rows, "node int, dim int, at long, right int"), "node", "left").withColumn("node", F.when(_key(dims) >= F.col("at"), F.col("right")).otherwise(F.col("node"))).drop("dim", "at", "right")
-    return found
+    """points with node, the first shard below the node of the tree so far that a row falls into: a walk down constant arrays."""
+    tree, lefts = [levels[0][0]] if levels else [Node(0, 1)], []
+    for n in tree:  # grows meanwhile; a right child follows its left one
+        lefts.append(len(tree) if n.kids else 0)
+        tree += n.kids
+    left, first = _constant(lefts, "int"), _constant([n.first for n in tree], "int")
+    dim = _constant([dims.index(n.cut[0]) if n.cut else -1 for n in tree], "int")
+    at = _constant([n.cut[1] if n.cut else 0 for n in tree], "long")
+    right = lambda i: F.coalesce(F.get(F.array(*dims), F.get(dim, i)) >= F.get(at, i), F.lit(False)).cast("int")
+    down = lambda i, _: F.when(F.get(left, i) > 0, F.get(left, i) + right(i)).otherwise(i)
+    return points.withColumn("node", F.get(first, F.aggregate(_constant(range(len(levels)), "int"), F.lit(0), down)) if levels else F.lit(0))
+
+
+def _medians(digits: DataFrame, goal: Column) -> DataFrame:
+    """A row for each node and dim of digits (node, dim, size, digit): its size w, its least and greatest digit lo and
+    hi, and m, the first digit up to which the size reaches goal (a column of node and w), with its size and the size up
+    to it. Rows without a digit don't count. They aren't filtered out, as a filter would walk the tree once more."""
+    own = Window.partitionBy("node", "dim")
+    hist = digits.groupBy("node", "dim", "digit").agg(F.sum(F.when(F.col("digit").isNotNull(), F.col("size"))).alias("of"))
+    hist = hist.withColumn("upto", F.sum("of").over(own.orderBy("digit"))).withColumn("w", F.sum("of").over(own))
+    reached = F.when(F.col("digit").isNotNull() & (F.col("upto") >= goal), F.struct("digit", F.col("of").alias("w"), "upto"))
+    return hist.groupBy("node", "dim").agg(F.first("w").alias("w"), F.min("digit").alias("lo"), F.max("digit").alias("hi"), F.min(reached).alias("m"))
 
 
 def build(points: DataFrame, shards: int, dims: tuple[str, ...] = DIMS, slack: float = SLACK) -> list[list[Node]]:
     """The tree over points (size, and a 60-bit key per dimension) with `shards` leaves of near-equal total size: its
     inner nodes, level by level.
 
-    Per level one aggregation finds each node's widest dimension, by the share of the root's range that its keys'
-    values span; further ones find the weighted medians, DIGIT bits of the key a pass, until the size in the median's
-    digit is under slack of a leaf. A node of k leaves is cut at floor(k/2)/k of its size. A few numbers per node
-    reach the driver; what a pass groups by is at most 2**DIGIT digits per node.
+    Per level one histogram of each node's values in every dimension finds the dimension that is widest, by the share of
+    the root's range that its values span, and the value that its weighted median has. Where that value's size is over
+    slack of a leaf, the hashes of its groups, then of its rows refine the cut, a pass each. A node of k leaves is cut at
+    floor(k/2)/k of its size. A few numbers per node reach the driver; a pass groups by at most 2**PART digits per node
+    and dimension. A pass is one job without joins, so what the driver keeps of jobs and plans stays small.
     """
     levels: list[list[Node]] = []
     todo = [Node(0, shards)] if shards > 1 else []
-    spans: dict[str, int] = {}
+    spans: list[int] = []
     while todo:
         at = _descended(points, levels, dims)
-        spread = [f(F.shiftright(d, 40)).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
-        ranges = {r["node"]: r for r in _known(at, [(n.first,) for n in todo], "node int").groupBy("node").agg(F.sum("size").alias("w"), *spread).collect()}
-        wide = lambda r, d: r[f"hi_{d}"] - r[f"lo_{d}"]
-        spans = spans or {d: max(1, wide(ranges[0], d)) if 0 in ranges else 1 for d in dims}
-        total = sum(r["w"] for r in ranges.values())
-        state = {}  # first: [dimension, digits of the cut so far, size left of the goal]
+        half, whole = _of_node({n.first: n.shards // 2 for n in todo}, "int"), _of_node({n.first: n.shards for n in todo}, "int")
+        values = [F.struct(F.lit(i).alias("dim"), F.when(half > 0, F.shiftright(d, PART * (PARTS - 1))).alias("digit")) for i, d in enumerate(dims)]
+        found: dict[int, dict] = {}
+        for r in _medians(at.select("node", "size", F.inline(F.array(*values))), F.col("w").cast("double") * half / whole).collect():
+            if r["m"] is not None:
+                found.setdefault(r["node"], {})[r["dim"]] = r
+        spans = spans or [max(1, found[0][i]["hi"] - found[0][i]["lo"]) if 0 in found else 1 for i in range(len(dims))]
+        limit = slack * sum(f[0]["w"] for f in found.values()) / sum(n.shards for n in todo)
+        state, cuts = {}, {}  # by first shard: [dimension, key of the cut so far, size left of the goal]; the key of the cut
         for n in todo:
-            if (r := ranges.get(n.first)) is not None:
-                state[n.first] = [max(dims, key=lambda d: (wide(r, d) / spans[d], -dims.index(d))), 0, r["w"] * (n.shards // 2) / n.shards]
-        limit = slack * total / sum(n.shards for n in todo)
-        cuts: dict[int, int] = {}
-        for digit in range(DIGITS):
-            left = [(f, dims.index(x[0]) + 1, x[1], float(x[2])) for f, x in state.items() if f not in cuts]
-            if not left:
+            if (f := found.get(n.first)) is not None:
+                dim = max(f, key=lambda i: ((f[i]["hi"] - f[i]["lo"]) / spans[i], -i))
+                state[n.first] = [dim, 0, f[dim]["w"] * (n.shards // 2) / n.shards]
+        medians = {k: found[k][x[0]]["m"] for k, x in state.items()}
+        for part in range(PARTS):
+            shift = PART * (PARTS - 1 - part)
+            if part and (left := {k: x for k, x in state.items() if k not in cuts}):
+                dim, prefix, goal = [_of_node({k: x[j] for k, x in left.items()}, kind) for j, kind in enumerate(("int", "long", "double"))]
+                keyed = at.select("node", "size", dim.alias("dim"), prefix.alias("prefix"), F.get(F.array(*dims), dim).alias("key"))
+                digit = F.when(F.shiftright("key", shift + PART) == F.col("prefix"), F.shiftright("key", shift))
+                medians = {r["node"]: r["m"] for r in _medians(keyed.select("node", "size", "dim", digit.alias("digit")), goal).collect() if r["m"] is not None}
+            for k, m in medians.items():
+                below, goal = m["upto"] - m["w"], state[k][2]
+                if m["w"] <= limit or part == PARTS - 1:
+                    cuts[k] = (m["digit"] + (goal - below > m["upto"] - goal)) << shift
+                state[k][1:] = m["digit"], goal - below
+            if len(cuts) == len(state):
                 break
-            shift = DIGIT * (DIGITS - 1 - digit)
-            keyed = _known(at, left, "node int, dim int, prefix long, goal double").withColumn("key", _key(dims)).where(F.shiftright("key", shift + DIGIT) == F.col("prefix"))
-            hist = keyed.groupBy("node", F.shiftright("key", shift).alias("digit")).agg(F.sum("size").alias("w"), F.first("goal").alias("goal"))
-            upto = hist.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("digit")))
-            for r in upto.where("upto >= goal").groupBy("node").agg(F.min_by(F.struct("digit", "w", "upto"), "digit").alias("m")).collect():
-                f, m = r["node"], r["m"]
-                below, goal = m["upto"] - m["w"], state[f][2]
-                if m["w"] <= limit or digit == DIGITS - 1:
-                    cuts[f] = (m["digit"] + (goal - below > m["upto"] - goal)) << shift
-                state[f][1:] = m["digit"], goal - below
         for n in todo:
-            half = n.shards // 2
             # a node without rows can be cut anywhere
-            n.cut = (state[n.first][0], cuts[n.first]) if n.first in cuts else (dims[0], 2**60)
-            n.kids = [Node(n.first, half), Node(n.first + half, n.shards - half)]
+            n.cut = (dims[state[n.first][0]], cuts[n.first]) if n.first in cuts else (dims[0], 2 ** (PART * PARTS))
+            n.kids = [Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2)]
         levels.append(todo)
         todo = [k for n in todo for k in n.kids if k.shards > 1]
     return levels

@@ -243,6 +243,20 @@ def test_trees_against_plain_recursion(spark, shards):
     assert got == plain_tree(points, shards, 2)
 
 
+def test_trees_take_few_jobs_and_no_joins(spark):
+    rng = random.Random(1)
+    keys = lambda: [(rng.randrange(4) << 40) + rng.randrange(2**40) for _ in range(2)]
+    df = spark.createDataFrame([(rng.choice([1, 5, 50, 400]), *keys()) for _ in range(300)], "size long, x long, y long")
+    sc = spark.sparkContext
+    sc.setJobGroup("tree", "the jobs of a tree")
+    levels = sharding.build(df, 8, ("x", "y"), 0.0)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    # at most three passes a level, of three jobs each: the driver keeps something of every one
+    assert len(levels) == 3 and 0 < len(sc.statusTracker().getJobIdsForGroup("tree")) <= 27
+    plan = sharding._descended(df, levels, ("x", "y"))._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Join", "Exchange", "split(") if x in plan]
+
+
 def test_repeated_rows_are_dealt_evenly(spark):
     rows = [(5, "same text " * 10, "en", "a")] * 800 + [(None, "same text " * 10, None, None)] * 100 + [(i, f"other {i}", "en", "a") for i in range(200)]
     sums, slots = {}, {}
