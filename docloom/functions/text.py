@@ -48,6 +48,41 @@ def asciidoc_text(c: Column) -> Column:
     return F.regexp_replace(c, r"([*_#^~\\`])", r"\\$1")
 
 
+# Noncharacters, which Unicode sets apart for use inside a program: 31 stand for control characters, one is a joint.
+CONTROLS = "".join(map(chr, (*range(10), *range(11, 32))))
+STAND_INS = "".join(chr(0xFDD0 + i) for i in range(31))
+JOINT = "\ufdef"
+_EDGE = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
+def carried(c: Column, runs: bool = False) -> Column:
+    """Running text in which a reader of markdown or HTML finds each blank and line end by itself, and no block but one
+    paragraph: a joint stands between neighbouring ones, at edges that would be lost, in empty text, and before what
+    would start a block; control characters have stand-ins. With runs, blanks beside each other stay one gap."""
+    plain = F.when(c.rlike(r"[\x00-\x09\x0b-\x1f]"), F.translate(c, CONTROLS, STAND_INS)).otherwise(c)
+    start = rf"(?={_EDGE}|[-+>=~#]|\d{{1,9}}[.)])"
+    joined = F.regexp_replace(plain, rf"\n{start}|\n(?=\n)| (?=\n)" if runs else rf"\n{start}|[ \n](?=[ \n])", f"$0{JOINT}")
+    joined = F.when(joined.rlike("[^\\x00-\\x7f]\n"), F.regexp_replace(joined, rf"{_EDGE}(?=\n)", f"$0{JOINT}")).otherwise(joined)
+    first = F.substring(plain, 1, 10).rlike(rf"\A(?:\z|{start})")
+    return F.concat(F.when(first, JOINT).otherwise(""), joined, F.when(F.substring(plain, -1, 1).rlike(_EDGE), JOINT).otherwise(""))
+
+
+def restored(c: Column) -> Column:
+    """What came of carried() text without its joints and stand-ins."""
+    text = F.replace(F.replace(c, F.lit(JOINT), F.lit("")), F.lit(STAND_INS[0]), F.lit("\0"))
+    return F.when(c.rlike(r"[\ufdd0-\ufdef]"), F.translate(text, STAND_INS[1:], CONTROLS[1:])).otherwise(c)
+
+
+def commonmark_text(c: Column, runs: bool = False) -> Column:
+    """Running text as CommonMark: what is written is one paragraph of that text, whatever marks it holds."""
+    return F.regexp_replace(carried(c, runs), r"[\\`*_\[\]<]|&(?=#?\w+;)", r"\\$0")
+
+
+def lone_joints(c: Column) -> Column:
+    """How many words of carried() text are joints alone."""
+    return F.regexp_count(c, F.lit(rf"(?<![^ \n]){JOINT}+(?![^ \n])"))
+
+
 def collapsed(c: Column) -> Column:
     return F.regexp_replace(c, r"[ \t\r\n]+", " ")
 

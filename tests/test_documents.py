@@ -281,3 +281,38 @@ def test_notes_are_read_once(spark, tmp_path):
     notes = entry.queries()["kept_notes"](spark, str(tmp_path))
     assert notes._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
     assert sorted(map(tuple, notes.collect())) == sorted((i, f"body {i}", f) for i in range(3) for f in ("docx", "odt", "gfm"))
+
+
+ODD = [
+    None, "", " ", "\n", "\n\n", "\t", "    code", "  two", "two  ", "a  b", "a \nb", "a\n b", "a  \nb", "a\n\nb", "a\n\n\n  \nb\n", "a\tb\t", "a\r\nb\r", "\ufeffa", "a\u00a0", "\u00a0\na\u2003\n\u00a0b", "a\x01\x0b\x0c\x1fb",
+    "*a* **b** ***c*** _d_ __e__", "word***word*** x***", "`a` ``b", "[a](b) ![c](d) [e]", "[a]: b", "<b>a</b> <!-- c --> <a@b.de>", "<div>\na\n</div>", "&amp; &copy; &#65; &amp", "\\a \\* \\\\", "a\\\nb", "\\textbackslash{} ~ ^ {}",
+    "# a", "a\n# b", "- a\n- b", "+ a", "* a", "1. a\n2) b", "a\n1. b", "> a", "a\n> b", "a\n---", "a\n===", "---", "***", "```\na\n```", "~~~\na", "| a |\n|---|\n| b |", "a\n    b", "+1 (389) 555", "a #", "x & y < z > \"q\" 'r' $ % | = _",
+]
+RUNNING = ("doc_asciidoc",)
+
+
+@pytest.fixture(scope="session")
+def odd_documents(spark, tmp_path_factory):
+    random_texts = random.Random(7)
+    pieces = [" ", "  ", "\n", "\t", "*", "**", "_", "`", "[a](b)", "<i>", "&lt;", "\\", "#", "- ", "1. ", ">", "a", "bc", "~", "\u00a0", "!", "é"]
+    texts = ODD + ["".join(random_texts.choices(pieces, k=random_texts.randint(1, 12))) for _ in range(400)]
+    folder = tmp_path_factory.mktemp("odd")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).write.parquet(str(folder / "documents.parquet"))
+    return folder
+
+
+@pytest.mark.parametrize("name", RUNNING)
+def test_running_text_stays_what_it_is(spark, odd_documents, name):
+    """Texts with marks and irregular white space give what the query's SQL states."""
+    gives_its_sql(spark, odd_documents, "documents", name)
+
+
+def gives_its_sql(spark, folder, table, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    want = con.execute(queries.ORACLES[name]).fetchall()
+    columns = [c[0] for c in con.execute("DESCRIBE " + queries.ORACLES[name]).fetchall()]
+    found = [tuple(r) for r in queries.QUERIES[name](spark, str(folder)).select(*columns).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
